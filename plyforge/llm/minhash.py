@@ -325,7 +325,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col
         likely = likely.unionByName(_compare(_blocks(rest, p, True), p, True)).distinct()
     tried = materialize(likely, "nd-pairs")
     need = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(need, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(need.hint("merge"), "id")
     texts = materialize(texts.dropDuplicates(["id", "text"]), "nd-texts")
     links = materialize(_verify(tried, texts, p), "nd-links")
     labels = connected_components(links)
