@@ -6,15 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plyforge.llm.bpe import bpe_round_trip
+from plyforge.llm.huffman import token_files
 from plyforge.llm.minhash import NearDupParams, near_duplicates
 from plyforge.llm.textio import documents
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDupParams(words=3, percent=85))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe": op4_bpe,
+    "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE: dict[str, str] = {}
