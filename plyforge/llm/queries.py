@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plyforge.llm import langid, toxicity
 from plyforge.llm.bpe import bpe_round_trip
 from plyforge.llm.huffman import token_files
 from plyforge.llm.minhash import NearDupParams, near_duplicates
@@ -19,6 +21,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_rest(n: int) -> Column:
+    """crc32 of the document id's decimal text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, id_rest(5) != 0)
+    return langid.predict(docs, model).select("doc_id", (id_rest(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_rest(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (id_rest(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -32,8 +51,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op4_bpe": op4_bpe,
     "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
