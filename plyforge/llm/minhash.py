@@ -78,15 +78,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and their offsets.
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts, and the words' offsets by text.
 
-    Words are runs of bytes other than ASCII white space with A-Z lower-cased; a text of fewer than k words is one
-    shingle, a text without words none.
+    Words are runs of bytes other than ASCII white space, with A-Z lower-cased.
     """
-    docs = len(offs) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
     is_word = _WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
@@ -100,7 +96,18 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LOWER[data] * p[: len(data)], out=total[1:])
     word = _mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    woff = np.searchsorted(starts, offs)
+    return word, np.searchsorted(starts, offs)
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, and their offsets.
+
+    A text of fewer than k words is one shingle, a text without words none.
+    """
+    docs = len(offs) - 1
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
+    word, woff = word_hashes(data, offs)
     count = np.diff(woff)
     w = len(word)
     rolled = np.zeros(w, np.uint64)

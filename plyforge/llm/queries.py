@@ -11,6 +11,9 @@ from plyforge.llm import langid, toxicity
 from plyforge.llm.bpe import bpe_round_trip
 from plyforge.llm.huffman import token_files
 from plyforge.llm.minhash import NearDupParams, near_duplicates
+from plyforge.llm.ogg import media_round_trip
+from plyforge.llm.sharding import shard_documents
+from plyforge.llm.simhash import edited_pairs
 from plyforge.llm.textio import documents
 
 
@@ -42,6 +45,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(documents(spark, sf_dir))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(documents(spark, sf_dir))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), 16)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -53,6 +68,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op4_bpe": op4_bpe,
+    "op5_ogg": op5_ogg,
+    "op6_simhash": op6_simhash,
+    "op7_shards": op7_shards,
     "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
