@@ -14,9 +14,11 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from plyforge.llm.textio import pick, small_batches
 
@@ -180,8 +182,8 @@ class PairIndexBpe:
         """True if the pieces between spaces can be encoded one by one."""
         return text != "" and "<|" not in text and not _ODD.search(text) and not _RUN.search(text)
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, sha256 of the decimal ids with commas, sha256 of the decoded text) of each text."""
+    def round_trip(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(decimal ids with commas, text decoded from them) of each text."""
         texts_units = [t.split(" ") if self.plain(t) else None for t in texts]
         units, bytes_of = self.units, self.unit_bytes
         fresh: set[str] = set()
@@ -201,8 +203,12 @@ class PairIndexBpe:
                 first, rest = self.encode(us[0]), us[1:]
                 csv = ",".join([*map(str, first), *map(units.__getitem__, rest)])
                 raw = self.decode_bytes(first) + b"".join(map(bytes_of.__getitem__, rest))
-            decoded = raw.decode("utf-8", "replace").encode()
-            yield csv.count(",") + 1 if csv else 0, hashlib.sha256(csv.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            yield csv, raw.decode("utf-8", "replace")
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, sha256 of the decimal ids with commas, sha256 of the decoded text) of each text."""
+        for csv, decoded in self.round_trip(texts):
+            yield csv.count(",") + 1 if csv else 0, hashlib.sha256(csv.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 _LOADED: dict[str, PairIndexBpe] = {}
@@ -239,12 +245,32 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = _texts(batch, 1)
             for i, j in _runs(texts):
-                ids = pa.array([bpe.encode(t) for t in texts[i:j]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), ids], names=["id", "ids"])
+                ids = [np.fromstring(csv, np.int32, sep=",") if csv else np.zeros(0, np.int32) for csv, _ in bpe.round_trip(texts[i:j])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return pick(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def tokenized(docs: DataFrame, path: str, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The columns in keep, then n_tokens, ids array<int> and whether they decode to the text, in the rows' order."""
+    small_batches(docs.sparkSession)
+    kept = docs.select(*[f"`{c}`" for c in keep])
+    schema = StructType([*kept.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            texts = _texts(batch, len(keep))
+            for i, j in _runs(texts):
+                both = list(bpe.round_trip(texts[i:j]))
+                ids = [np.fromstring(csv, np.int32, sep=",") if csv else np.zeros(0, np.int32) for csv, _ in both]
+                same = [decoded == t for (_, decoded), t in zip(both, texts[i:j], strict=True)]
+                cols = [batch.column(c).slice(i, j - i) for c in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+    return docs.select(*[f"`{c}`" for c in keep], f"`{text_col}`").mapInArrow(run, schema)
+
+
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text) from (id, ids); bytes that aren't UTF-8 come back as the replacement character. Null ids: null."""
 

@@ -11,7 +11,9 @@ from plyforge.llm import langid, toxicity
 from plyforge.llm.bpe import bpe_round_trip
 from plyforge.llm.huffman import token_files
 from plyforge.llm.minhash import NearDupParams, near_duplicates
+from plyforge.llm.mixing import MixParams, mix, oracle as mix_oracle
 from plyforge.llm.ogg import media_round_trip
+from plyforge.llm.pii import PiiParams, pseudonymize
 from plyforge.llm.sharding import shard_documents
 from plyforge.llm.simhash import edited_pairs
 from plyforge.llm.textio import documents
@@ -41,6 +43,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_rest(4) == 2).alias("held_out"), "score", "predicted")
 
 
+#: A third of the rows may be of src0; the mix gives it a quarter.
+TARGET = MixParams({"src0": 0.24} | {f"src{i}": 0.04 for i in range(1, 20)})
+PII = PiiParams("corpus-2024")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PII, found_col="found")
+    return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(documents(spark, sf_dir).select("doc_id", "source"), TARGET)
+    return out.select("row.doc_id", "row.source", "slot", "offset", "position", "in_mix")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -67,6 +84,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_pii": op2_pii,
+    "op3_mix": op3_mix,
     "op4_bpe": op4_bpe,
     "op5_ogg": op5_ogg,
     "op6_simhash": op6_simhash,
@@ -75,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_mix": mix_oracle(TARGET)}

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +177,27 @@ def calibrate(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
     return max(a, 0.05) / scale, float(b)
 
 
+def _scorer(model: ToxicModel):
+    """A function from a string column to the scores of its texts, run by run."""
+    table = np.append(model.bucket_scores(), np.float32(0))  # the last one is for positions without an n-gram
+    offset = float(model.bias[1] - model.bias[0])
+    slope, shift = model.slope, model.shift
+
+    def scores(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        for i, j, data, offs in chunks(col):
+            buf, starts = ngrams.folded(data, offs, digits=True)
+            total, n = np.zeros(j - i), np.zeros(j - i)
+            for g in ngrams.grams(buf, SIZES, BITS, True):
+                at = np.minimum(starts[:-1], len(g))
+                g = np.append(g, -1)
+                total += np.add.reduceat(table[g], at, dtype=np.float64)
+                n += np.add.reduceat((g >= 0).astype(np.int64), at)
+            z = slope * (total / (n + PAD) + offset) + shift
+            yield i, j, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) for every whole text: the chance of label 1, and 1 where it reaches the threshold.
 
@@ -183,22 +205,26 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, id_col: st
     columns aren't read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    table = np.append(model.bucket_scores(), np.float32(0))  # the last one is for positions without an n-gram
-    offset = float(model.bias[1] - model.bias[0])
-    slope, shift = model.slope, model.shift
+    scores = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in chunks(batch.column(1)):
-                buf, starts = ngrams.folded(data, offs, digits=True)
-                total, n = np.zeros(j - i), np.zeros(j - i)
-                for g in ngrams.grams(buf, SIZES, BITS, True):
-                    at = np.minimum(starts[:-1], len(g))
-                    g = np.append(g, -1)
-                    total += np.add.reduceat(table[g], at, dtype=np.float64)
-                    n += np.add.reduceat((g >= 0).astype(np.int64), at)
-                z = slope * (total / (n + PAD) + offset) + shift
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            for i, j, p in scores(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=["id", "score", "predicted"])
 
     return pick(docs, id_col, text_col).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score stays below the threshold; rows without text stay."""
+    small_batches(docs.sparkSession)
+    scores, at = _scorer(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(at)
+            empty = np.asarray(pc.fill_null(pc.equal(pc.utf8_length(col), 0), True))
+            for i, j, p in scores(col):
+                yield batch.slice(i, j - i).filter(pa.array((p < threshold) | empty[i:j]))
+
+    return docs.mapInArrow(run, docs.schema)
