@@ -47,7 +47,7 @@ def _bags(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield np.unique(g[g >= 0], return_counts=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 2000, negatives: int = 4000, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1000, negatives: int = 1500, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learn from at most about positives + negatives labelled rows where train (over id_col) holds, drawn by a hash of the id.
 
     A document with several labels counts as toxic if any of them says so. The drawn ids (bounded by the two parameters)
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 2000
                 )
 
     got = rows.mapInArrow(run, "y int, at binary, n binary").toPandas()
-    bags = [(np.frombuffer(a, "<u4").astype(np.int32), np.frombuffer(n, "<u2").astype(np.float32)) for a, n in zip(got["at"], got["n"], strict=True)]
+    bags = [(np.frombuffer(a, "<u4"), np.frombuffer(n, "<u2")) for a, n in zip(got["at"], got["n"], strict=True)]  # views: the counts are held once
     y = (got["y"].to_numpy(np.int64) > 0).astype(np.int64)
     del got
     prior = count[1] / (count[0] + count[1])
@@ -105,7 +105,7 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior:
     lean = []
     for a, n in bags:
         total, at = float(n.sum()) + PAD, local[a]
-        lean.append((at[at >= 0], n[at >= 0] / total))
+        lean.append((at[at >= 0], (n[at >= 0] / total).astype(np.float32)))
     spread = 100.0  # a text's vector is a mean over thousands of n-grams: the scale of its inputs, kept in the model's vectors
     v = rng.normal(0, 0.01, (len(used), dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
