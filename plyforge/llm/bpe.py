@@ -189,7 +189,7 @@ class PairIndexBpe:
         fresh: set[str] = set()
         for us in texts_units:
             if us and None in map(units.get, us[1:]):
-                fresh.update(u for u in us[1:] if u not in units)
+                fresh.update([u for u in us[1:] if u not in units])
         if fresh:
             kept = len(units)
             self.learn(fresh)
