@@ -404,6 +404,9 @@ class Compiler:
             for s in steps:
                 if s.kind == "group":
                     item = plain(s.item)
+                elif s.kind == "move" and isinstance(s.item, A.Node):  # a step of any timeline: the row that follows
+                    h = self.add(self.hit(s.item, env))
+                    item = number(self.add(f"coalesce(lead({h}) {self.over(True)}, false)"))
                 elif s.kind == "move":
                     item = number(move_sql(s.item, self.next_move()))
                 elif s.kind == "filter":
@@ -484,6 +487,13 @@ def search(query: A.Node, rows: DataFrame, games: DataFrame | None = None, game:
     return found.withColumn("match_count", F.size("matching_plies"))
 
 
+def hit_rows(query: A.Node, rows: DataFrame, games: DataFrame | None = None, game: str = "game_id", ply: str = "ply") -> DataFrame:
+    """(game, ply) of every row that query holds at."""
+    c = Compiler(rows, games, game, ply)
+    h = c.hit(expand_all(query))
+    return c.df.where(h).select(game, ply)
+
+
 def ply_limit(q: A.Node) -> int | None:
     """The last ply a conjunction of plain position terms can hold at, to prune the scan by."""
     if not isinstance(q, A.And) or any(isinstance(x, A.Scope | A.Occurs | A.Path | A.Played | A.Play | A.WhatIf) for x in A.walk(q)):
