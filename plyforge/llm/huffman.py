@@ -10,6 +10,8 @@ at once.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import uuid
@@ -19,10 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.llm.textio import discard, materialize, pick, shared_dir, small_batches
+from plyforge.llm.minhash import span_hashes
+from plyforge.llm.textio import chunks, discard, materialize, pick, shared_dir, small_batches
 
 MAGIC = b"PFH1"
 STEP = 128
@@ -32,52 +36,221 @@ MAX_BITS = 16
 _PLAIN = re.compile("[\x1c-\x1f\x85İŉǰʰ-\U0010ffff]|<\\|")
 
 
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def id_type(path: str, end_id: int | None) -> str:
+    """The smallest little-endian type that holds every id of a tokenizers JSON file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    largest = max([end_id or 0, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 class UnitEncoder:
-    """Ids by a tokenizers JSON file, with the ids of text units between white space kept for reuse.
+    """Ids by a tokenizers JSON file, with the ids of the pieces between which nothing merges kept for reuse.
 
-    The file's model must drop white space between pre-tokens, so that units are independent; texts with characters
-    outside the plain range, or with special tokens, go whole to the library.
+    The file's model must be one that lower-cases, drops white space, splits by _PIECE and marks the ends of words, so
+    that pieces are independent. New pieces are encoded by the library, many in one text, and told apart by the end marks;
+    texts with characters outside the plain range, or with special tokens, go to it whole.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, kind: str, max_pieces: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.max_units = max_units
-        self.units: dict[str, bytes] = {}
+        self.kind, self.max_pieces = kind, max_pieces
+        self.pieces: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, fresh: list[str]) -> None:
+        pieces, width = self.pieces, np.dtype(self.kind).itemsize
+        if len(pieces) + len(fresh) > self.max_pieces:
+            pieces.clear()
+        groups = [fresh[s : s + 500] for s in range(0, len(fresh), 500)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(cut * width).tolist()]
+                pieces.update(zip(group, [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], strict=True))
+            else:
+                pieces.update((p, self.ids(p)) for p in group)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        split = [None if _PLAIN.search(t) else t.split() for t in texts]
-        units = self.units
-        fresh: dict[str, None] = {}
-        for us in split:
-            if us and None in map(units.get, us):
-                fresh.update(dict.fromkeys(u for u in us if u not in units))
-        if fresh:
-            if len(units) + len(fresh) > self.max_units:
-                units.clear()
-                fresh = dict.fromkeys(u for us in split if us for u in us)
-            new = list(fresh)
-            for s in range(0, len(new), 20_000):
-                part = new[s : s + 20_000]
-                for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    units[u] = np.array(e.ids, "<u4").tobytes()
-        get = units.__getitem__
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if us is None else b"".join(map(get, us)) for t, us in zip(texts, split, strict=True)]
-
-
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        import os
+        """Little-endian ids of each text."""
+        get, find, out, open_ = self.pieces.get, _PIECE.findall, [b""] * len(texts), []
+        for k, t in enumerate(texts):
+            if _PLAIN.search(t):
+                out[k] = self.ids(t)
+                continue
+            ps = find(t.lower())
+            found = list(map(get, ps))
+            if None in found:
+                open_.append((k, ps, found))
+            else:
+                out[k] = b"".join(found)
+        if open_:
+            before = len(self.pieces)
+            fresh = {p for _, ps, found in open_ for p, f in zip(ps, found, strict=True) if f is None}
+            self.learn(list(fresh))
+            if len(self.pieces) < before + len(fresh):  # the bound was reached and the pieces began anew
+                self.learn(list({p for _, ps, _ in open_ for p in ps if p not in self.pieces}))
+            for k, ps, _ in open_:
+                out[k] = b"".join(map(self.pieces.__getitem__, ps))
+        return out
+
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER  # second bytes, and the first byte of the Latin-1 letters
+_DOWN = np.arange(256, dtype=np.uint8)
+_DOWN[65:91] += 32
+
+
+class ByteEncoder:
+    """Ids of many texts at once over their UTF-8 bytes: pieces are found, hashed and looked up as arrays.
+
+    A table of 64-bit piece hashes holds where each known piece's ids lie. Pieces that it doesn't hold are encoded by the
+    library; so are, whole, the texts with other characters than ASCII and the Latin-1 letters, or with special tokens.
+    """
+
+    def __init__(self, path: str, kind: str, bits: int = 22):
+        self.slow, self.kind, self.bits = UnitEncoder(path, kind, 100_000), kind, bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int32)
+        self.n = np.zeros(1 << self.bits, np.uint8)
+        self.pool, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it isn't held (0 marks a free slot and is never a hash)."""
+        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(64 - self.bits)
+        slot = h >> shift
+        out = np.full(len(h), -1, np.int64)
+        k = self.key[slot]
+        hit = k == h
+        out[hit] = slot[hit]
+        todo = np.flatnonzero(~hit & (k != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + np.uint64(1)) & mask
+            k = self.key[slot[todo]]
+            hit = k == h[todo]
+            out[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit & (k != 0)]
+        return out
+
+    def learn(self, h: list[int], pieces: list[str]) -> None:
+        if self.held + len(h) > 1 << (self.bits - 1):
+            self.clear()
+        self.slow.learn(pieces)
+        ids = [np.frombuffer(self.slow.pieces[p], self.kind) for p in pieces]
+        need = self.used + sum(map(len, ids))
+        if need > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(need, len(self.pool)), self.kind)))
+        mask, key = (1 << self.bits) - 1, self.key
+        for x, i in zip(h, ids, strict=True):
+            slot = x >> (64 - self.bits)
+            while key[slot]:
+                slot = (slot + 1) & mask
+            key[slot], self.at[slot], self.n[slot] = x, self.used, len(i)
+            self.pool[self.used : self.used + len(i)] = i
+            self.used += len(i)
+        self.held += len(h)
+
+    def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-cased bytes, starts, ends) of the pieces, texts with odd characters included as they come."""
+        low = _DOWN[data]
+        two = np.flatnonzero(low[:-1] == 0xC3) + 1 if len(low) else np.zeros(0, np.int64)
+        two = two[(low[two] >= 0x80) & (low[two] <= 0x9E)]
+        low[two] += 32
+        kind = _CLASS[low]
+        before = np.empty_like(kind)
+        before[:1], before[1:] = _SPACE, kind[:-1]
+        edge = offs[:-1][np.diff(offs) > 0]
+        before[edge] = _SPACE
+        start = (kind != _SPACE) & ((kind != before) | (kind == _DIGIT))
+        tick = np.flatnonzero((low == 39) & (before != _OTHER))
+        if len(tick):  # 's 't 're 've 'm 'll 'd split from what follows, unless other marks run into the apostrophe
+            last = offs[np.searchsorted(offs, tick, side="right")]
+            padded = np.concatenate((low, np.zeros(3, np.uint8)))
+            a, b = np.where(tick + 1 < last, padded[tick + 1], 0), np.where(tick + 2 < last, padded[tick + 2], 0)
+            size = np.where(np.isin(a, np.frombuffer(b"stmd", np.uint8)), 2, np.where(((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108)), 3, 0))
+            tick, size, last = tick[size > 0], size[size > 0], last[size > 0]
+            start[tick + 1] = False
+            after = tick + size
+            after = after[after < last]
+            start[after[kind[after] != _SPACE]] = True
+        stop = start | (kind == _SPACE)
+        stop[edge] = True
+        stops = np.append(np.flatnonzero(stop), len(low))
+        is_start = start[stops[:-1]]
+        return low, stops[:-1][is_start], stops[1:][is_start]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of data[offs[d]:offs[d + 1]]."""
+        docs = len(offs) - 1
+        if not len(data):
+            return [np.zeros(0, self.kind)] * docs
+        odd = np.zeros(len(data) + 1, np.int64)
+        wrong = _CLASS[data] == _ODD
+        nxt = np.append(data[1:], 0)
+        wrong |= (data == 0xC3) & ((nxt == 0x97) | (nxt == 0xB7))
+        wrong |= (data == 60) & (nxt == 124)
+        np.cumsum(wrong, out=odd[1:])
+        slow = odd[offs[1:]] > odd[offs[:-1]]
+        low, starts, ends = self.pieces(data, offs)
+        h = span_hashes(low, starts, ends)
+        h[h == 0] = 1
+        own = np.searchsorted(starts, offs)  # pieces of each text
+        skip = np.repeat(slow, np.diff(own))
+        slot = self.find(h)
+        new = np.flatnonzero((slot < 0) & ~skip)
+        if len(new):
+            self._learn_at(h, low, starts, ends, new)
+            slot = self.find(h)
+            if (slot[~skip] < 0).any():  # the table began anew
+                self._learn_at(h, low, starts, ends, np.flatnonzero((slot < 0) & ~skip))
+                slot = self.find(h)
+        slot[skip] = 0
+        n = self.n[slot].astype(np.int64)
+        n[skip] = 0
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        flat = self.pool[np.arange(total) + np.repeat(self.at[slot] - (end - n), n)]
+        bound = np.concatenate(([0], end))[own]
+        out = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        for d in np.flatnonzero(slow):
+            text = data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")
+            out[d] = np.frombuffer(self.slow.encode([text])[0], self.kind)
+        return out
 
+    def _learn_at(self, h, low, starts, ends, new) -> None:
+        hashes, first = np.unique(h[new], return_index=True)
+        first, raw = new[first], low.tobytes()
+        self.learn(hashes.tolist(), [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+
+
+_ENCODERS: dict[str, ByteEncoder] = {}
+
+
+def encoder(path: str, kind: str) -> ByteEncoder:
+    if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = ByteEncoder(path, kind)
     return _ENCODERS[path]
 
 
@@ -193,28 +366,29 @@ def read_file(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids binary): little-endian u32 ids of each whole text, the end id appended."""
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    """(id, n, ids binary): ids of each whole text in their id_type, the end id appended."""
+    kind = id_type(path, end_id)
+    tail = np.array([] if end_id is None else [end_id], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, kind)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in range(0, len(texts), 256):
-                ids = [b + tail for b in enc.encode(texts[s : s + 256])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, len(ids)).cast(pa.int64()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n", "ids"])
+            for i, j, data, offs in chunks(batch.column(1)):
+                ids = [np.concatenate((x, tail)).tobytes() for x in enc.encode(data, offs)]
+                n = [len(b) // tail.itemsize for b in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["id", "n", "ids"])
 
     return pick(docs, id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "id long, n long, ids binary")
 
 
-def global_counts(encoded: DataFrame) -> np.ndarray:
+def global_counts(encoded: DataFrame, kind: str) -> np.ndarray:
     """Occurrences of each id over all documents; at most one number per id of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+                c = np.bincount(np.frombuffer(raw.as_buffer(), kind))
                 if len(c) > len(total):
                     total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
                 total[: len(c)] += c
@@ -227,7 +401,7 @@ def global_counts(encoded: DataFrame) -> np.ndarray:
     return out
 
 
-def write_files(encoded: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
+def write_files(encoded: DataFrame, kind: str, lengths: np.ndarray, folder: str) -> DataFrame:
     """Write (id, n, ids) in ascending id order, one file per range of ids: (part, path, n_docs, n_ids).
 
     A task that runs again writes under another name; only the returned rows name valid files.
@@ -240,7 +414,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
         blocks, ids, docs, held, n_docs, n_ids = [], [], [], 0, 0, 0
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                d = np.frombuffer(raw.as_buffer(), "<u4")
+                d = np.frombuffer(raw.as_buffer(), kind)
                 ids.append(i)
                 docs.append(d)
                 held += len(d)
@@ -291,9 +465,10 @@ def token_files(docs: DataFrame, path: str, end_id: int | None = 2, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     encoded = materialize(encode_ids(docs, path, end_id, id_col, text_col), "huf-ids")
-    counts = global_counts(encoded)
+    kind = id_type(path, end_id)
+    counts = global_counts(encoded, kind)
     limit = max(MAX_BITS, int(np.count_nonzero(counts)).bit_length() + 1)
     lengths = code_lengths(counts, limit)
-    files = materialize(write_files(encoded, lengths, f"{shared_dir(spark)}/huf-{uuid.uuid4().hex}"), "huf-files")
+    files = materialize(write_files(encoded, kind, lengths, f"{shared_dir(spark)}/huf-{uuid.uuid4().hex}"), "huf-files")
     discard(encoded)
     return read_documents(files).withColumnRenamed("id", id_col)

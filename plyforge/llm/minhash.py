@@ -78,6 +78,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of data, A-Z as a-z."""
+    p, q = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data] * p[: len(data)], out=total[1:])
+    return _mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of the texts, and the words' offsets by text.
 
@@ -92,11 +100,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.empty(len(data), bool)
     after[-1], after[:-1] = False, is_word[1:]
     ends = np.flatnonzero(is_word & (~after | edge[1:])) + 1
-    p, q = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * p[: len(data)], out=total[1:])
-    word = _mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return word, np.searchsorted(starts, offs)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offs)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
