@@ -28,7 +28,8 @@ class Server:
     """Open databases by key; every command is a method cmd_<name>(params)."""
 
     def __init__(self, spark: SparkSession | None = None):
-        self._spark, self.open: dict[str, Database] = spark, {}
+        self._spark = spark
+        self.open: dict[str, Database] = {}
 
     @property
     def spark(self) -> SparkSession:

@@ -40,5 +40,5 @@ def export_pgn(games: DataFrame, plies: DataFrame) -> DataFrame:
 def write_pgn(games: DataFrame, plies: DataFrame, path: str, order: list[Column] | None = None) -> None:
     """Text files, each a run of the games in order."""
     out = games.select(*games.columns).join(movetexts(plies), "game_id", "left")
-    rows = out.orderBy(*(order or [F.col("game_id")])).select(pgn_text(F.coalesce("moves", F.lit(""))).alias("value"))
-    rows.write.mode("overwrite").option("lineSep", "").text(path)
+    rows = out.orderBy(*(order or [F.col("game_id")])).select(F.regexp_replace(pgn_text(F.coalesce("moves", F.lit(""))), "\n$", "").alias("value"))
+    rows.write.mode("overwrite").text(path)

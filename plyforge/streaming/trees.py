@@ -15,7 +15,7 @@ from plyforge.sources import pgn
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str):
     """Start counting the tree index of the PGN files that come into folder."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pgn").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.pgn").load(folder)
 
     def batch(df: DataFrame, number: int) -> None:
         games = df.select("path", F.decode("content", "utf-8").alias("text"))
