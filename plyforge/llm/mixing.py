@@ -38,16 +38,11 @@ def numerators(weights: Mapping[str, float], period: int) -> dict[str, int]:
     total = sum(live.values())
     exact = {s: w / total * period for s, w in live.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(live, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    i = 0
-    while sum(out.values()) != period:
-        s = order[i % len(order)]
-        if sum(out.values()) < period:
-            out[s] += 1
-        elif out[s] > 1:
-            big = max(out, key=lambda x: (out[x] - exact[x], x))
-            out[big] -= 1
-        i += 1
+    while (left := period - sum(out.values())) != 0:
+        if left > 0:
+            out[max(out, key=lambda s: (exact[s] - out[s], s))] += 1
+        else:
+            out[max((s for s in out if out[s] > 1), key=lambda s: (out[s] - exact[s], s))] -= 1
     return out
 
 
