@@ -23,6 +23,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 18
 #: Zero vectors that every bag holds besides, so that a few n-grams of a very short text don't decide alone.
 PAD = 60
+LEAST_TEXTS = 4
 
 
 @dataclass
@@ -47,7 +48,7 @@ def _bags(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield np.unique(g[g >= 0], return_counts=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1000, negatives: int = 1500, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1500, negatives: int = 3000, least: float = 6.0, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learn from at most about positives + negatives labelled rows where train (over id_col) holds, drawn by a hash of the id.
 
     A document with several labels counts as toxic if any of them says so. The drawn ids (bounded by the two parameters)
@@ -63,49 +64,68 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1000
         return ToxicModel(np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 2)), np.zeros(2), 1.0, float(np.log(p / (1 - p))))
     want = F.when(F.col("y") > 0, F.lit(min(1.0, positives / count[1]))).otherwise(F.lit(min(1.0, negatives / count[0])))
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < want * (1 << 30))
-    rows = pick(docs, id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, F.col("y").cast("int").alias("y"))
+    rows = pick(docs, id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, (F.col("y") > 0).cast("int").alias("y"))
+    used = informative(*_document_counts(rows), least)
+    got = _bags_of(rows, used).collect()
+    bags = [(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["share"], "<f4")) for r in got]
+    y = np.array([r["y"] for r in got], np.int64)
+    return train_bags(bags, y, used, count[1] / (count[0] + count[1]), np.random.default_rng(seed))
+
+
+def _document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(texts of each class, texts of each class that hold each bucket): summed on the executors, a row a bucket at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((2, (1 << BITS) + 1), np.int64)  # the last column counts the texts
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for i, _, data, offs in chunks(batch.column(0)):
+                for d, (at, _) in enumerate(_bags(data, offs)):
+                    df[y[i + d], at] += 1
+                    df[y[i + d], -1] += 1
+        used = np.flatnonzero(df.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(df[0, used]), pa.array(df[1, used])], names=["bucket", "n0", "n1"])
+
+    total = rows.mapInArrow(run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"n0 + n1 >= {LEAST_TEXTS} or bucket = {1 << BITS}")
+    got = total.toPandas()
+    df = np.zeros((2, (1 << BITS) + 1))
+    df[:, got["bucket"].to_numpy(np.int64)] = got[["n0", "n1"]].to_numpy().T
+    return df[:, -1], df[:, :-1]
+
+
+def _bags_of(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """(y, at, share): place in `used` of each such bucket that a text holds, and its share of the text's n-grams."""
+    local = np.full(1 << BITS, -1, np.int32)
+    local[used] = np.arange(len(used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in chunks(batch.column(0)):
-                found = list(_bags(data, offs))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(i, j - i), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary())],
-                    names=["y", "at", "n"],
-                )
-
-    got = rows.mapInArrow(run, "y int, at binary, n binary").toPandas()
-    bags = [(np.frombuffer(a, "<u4"), np.frombuffer(n, "<u2")) for a, n in zip(got["at"], got["n"], strict=True)]  # views: the counts are held once
-    y = (got["y"].to_numpy(np.int64) > 0).astype(np.int64)
-    del got
-    prior = count[1] / (count[0] + count[1])
-    return train_bags(bags, y, prior, np.random.default_rng(seed))
-
-
-def informative(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: float) -> np.ndarray:
-    """Buckets whose shares of toxic and of other texts differ by at least `least` standard errors, and that 4 texts hold."""
-    df = np.zeros((2, 1 << BITS))
-    for (a, _), c in zip(bags, y, strict=True):
-        df[c, a] += 1
-    n = np.maximum(1, np.bincount(y, minlength=2))[:, None]
+                at, share = [], []
+                for a, n in _bags(data, offs):
+                    place = local[a]
+                    keep = place >= 0
+                    at.append(place[keep].astype("<u4").tobytes())
+                    share.append((n[keep] / (n.sum() + PAD)).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["y", "at", "share"])
+
+    return rows.mapInArrow(run, "y int, at binary, share binary")
+
+
+def informative(texts: np.ndarray, df: np.ndarray, least: float) -> np.ndarray:
+    """Buckets held by shares of toxic and of other texts that differ by `least` standard errors, and by LEAST_TEXTS texts."""
+    n = np.maximum(1, texts)[:, None]
     p = (df.sum(0) + 0.5) / (n.sum() + 1)
     z = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    return np.flatnonzero((np.abs(z) >= least) & (df.sum(0) >= 4))
+    return np.flatnonzero((np.abs(z) >= least) & (df.sum(0) >= LEAST_TEXTS))
 
 
-def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, rng: np.random.Generator, dim: int = 8, epochs: int = 20, batch: int = 128, least: float = 6.0) -> ToxicModel:
+def train_bags(lean: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, used: np.ndarray, prior: float, rng: np.random.Generator, dim: int = 8, epochs: int = 20, batch: int = 128) -> ToxicModel:
     """Adagrad over mini-batches of texts; every fifth text is held out to set slope and shift for the true share of toxic texts.
 
-    Buckets that don't tell the classes apart (see informative) keep the zero vector, so the many n-grams of a long text
-    add no noise to its mean.
+    lean: places in `used` and shares of the buckets that tell the classes apart. All other buckets keep the zero vector,
+    so the many n-grams of a long text add no noise to its mean.
     """
-    used = informative(bags, y, least)
-    local = np.full(1 << BITS, -1, np.int32)
-    local[used] = np.arange(len(used))
-    lean = []
-    for a, n in bags:
-        total, at = float(n.sum()) + PAD, local[a]
-        lean.append((at[at >= 0], (n[at >= 0] / total).astype(np.float32)))
     spread = 100.0  # a text's vector is a mean over thousands of n-grams: the scale of its inputs, kept in the model's vectors
     v = rng.normal(0, 0.01, (len(used), dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
