@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.plans import on_events, on_games, on_orders
+from plyforge.plans import on_attacks, on_events, on_games, on_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for module in (on_events, on_orders, on_games):
+for module in (on_events, on_orders, on_attacks, on_games):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
