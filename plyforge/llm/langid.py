@@ -61,7 +61,7 @@ def _counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield used.astype("<u2"), c[used].astype("<u4")
 
 
-def fit(docs: DataFrame, train: Column, sample: int = 2400, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def fit(docs: DataFrame, train: Column, sample: int = 1600, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from about `sample` rows where train holds and the language isn't null, equally many of each language.
 
     The rows are drawn by a hash of the id; their n-gram counts are taken on the executors over whole texts.
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 2400, seed: int = 5, id_co
     return train_bits(x, y, langs, code, rng)
 
 
-def train_bits(x: np.ndarray, y: np.ndarray, langs: list[str], code: np.ndarray, rng: np.random.Generator, steps: int = 150) -> LangModel:
+def train_bits(x: np.ndarray, y: np.ndarray, langs: list[str], code: np.ndarray, rng: np.random.Generator, steps: int = 80) -> LangModel:
     """One logistic classifier a bit by full-batch Adam on standardised shares; the temper is set on every fifth row."""
     hold = rng.random(len(y)) < 0.2 if len(y) > 50 else np.zeros(len(y), bool)
     scale = 1 / (x[~hold].std(0) + 2e-4)
@@ -106,7 +106,7 @@ def train_bits(x: np.ndarray, y: np.ndarray, langs: list[str], code: np.ndarray,
         for p, m, v, d in ((w, mw, vw, xs.T @ g.astype(np.float32) + 1e-4 * w), (b, mb, vb, g.sum(0))):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
-            p -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            p -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model = LangModel(langs, code, (w * scale[:, None]).astype(np.float32), b)
     if hold.any():
         loss = losses(model, x[hold] @ model.weights + b)

@@ -79,7 +79,12 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table, on all cores: a table of a few MB a core, which may be one file without a place to split, is
+    dealt out; larger ones are read as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < (cores << 22) else docs
 
 
 def pick(docs: DataFrame, *cols: str) -> DataFrame:
