@@ -22,12 +22,38 @@ _END = r"(?![A-Za-z0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![A-Za-z])(?i:token|secret|api[_-]?key|passwd|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,}+"
 IBAN = _NOT_IN_WORD + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
-IP = r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[A-Za-z0-9])"
-DATE = r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])"
-SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
-PHONE = r"(?<![A-Za-z0-9+(])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4})(?![A-Za-z0-9]|[.-][0-9])"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+IP = rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])"
+_YEAR, _LEAP = "(?:1[89]|2[01])[0-9]{2}", "(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
+_ISO = f"{_YEAR}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)|{_LEAP}-02-29"
+
+
+def _short_dates(sep: str, day_first: bool) -> str:
+    """Days of the calendar with one or two digits for day and month."""
+    common = [("(?:0?[1-9]|1[0-9]|2[0-8])", "(?:0?[1-9]|1[0-2])"), ("(?:29|30)", "(?:0?[13-9]|1[0-2])"), ("31", "(?:0?[13578]|1[02])")]
+    every = [(d, m, _YEAR) for d, m in common] + [("29", "0?2", _LEAP)]
+    return "|".join(f"{d if day_first else m}{sep}{m if day_first else d}{sep}{y}" for d, m, y in every)
+
+
+#: Behind an ISO date a time may follow after a T.
+DATE = (
+    rf"(?<![A-Za-z0-9./-])(?:(?:{_ISO})(?=T[0-9]{{2}}(?::?[0-9]{{2}}|Z)|(?![A-Za-z0-9]))"
+    rf"|(?:{_short_dates('[.]', True)}|{_short_dates('/', True)}|{_short_dates('/', False)})(?![A-Za-z0-9]))(?![./-][0-9])"
+)
+SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
+#: Java's look behind has no repeated groups, so they are written out.
+_EIGHT_TO_15 = r"(?<=\+[0-9]" + "[ .-]?[0-9]" * 7 + "[ .-]?[0-9]?" * 7 + ")"
+PHONE = r"(?<![A-Za-z0-9+(])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}" + _EIGHT_TO_15 + r")(?![A-Za-z0-9]|[.-][0-9])"
 CARD = _NOT_IN_WORD + r"[0-9](?:[ -]?[0-9]){12,18}" + _END
-#: In order: the first that matches at a place takes it; a value that isn't valid stays as it is.
+#: Lengths that the IBANs of a country have.
+IBAN_LENGTHS = {
+    n: c.split()
+    for n, c in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+#: In order: the first with a valid value at a place takes it, with its longest one; of IBANs, the length of the country first.
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 
 
@@ -178,32 +204,68 @@ def _letters_into(form: str, flat: str) -> str:
     return f"aggregate(split({form}, ''), named_struct('o', '', 'p', 1), (s, c) -> if(c = ' ', named_struct('o', concat(s.o, c), 'p', s.p), named_struct('o', concat(s.o, substring({flat}, s.p, 1)), 'p', s.p + 1)), s -> s.o)"
 
 
+def _iban(n: int) -> str:
+    return rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "")
+
+
+def _card(n: int) -> str:
+    return rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}"
+
+
+def _candidates(window: str, forms: list[str]) -> str:
+    """SQL of the strings of a form that start at any place of t and end with a word; window: where the longest may end."""
+    starts = _NOT_IN_WORD + f"(?=({window}[A-Za-z0-9]?))"
+    each = ", ".join(f"regexp_extract(w, {_q(f'^({x})' + _END)}, 1)" for x in forms)
+    return f"array_distinct(filter(flatten(transform(regexp_extract_all(t, {_q(starts)}, 1), w -> array({each}))), x -> x <> ''))"
+
+
+def valid_ibans() -> str:
+    """SQL of the IBANs of t that pass mod 97, wherever they start and end, those tried first in front."""
+    flat = "replace(x, ' ', '')"
+    ok = f"filter({_candidates('[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?', [_iban(n) for n in range(12, 36)])}, x -> {_mod97(f'concat(substring({flat}, 5), substring({flat}, 1, 4))')} = 1)"
+    own = " or ".join(f"length({flat}) = {n} and substring(x, 1, 2) in ({', '.join(map(_q, c))})" for n, c in IBAN_LENGTHS.items())
+    return f"transform(array_sort(transform({ok}, x -> named_struct('o', if({own}, 0, 1), 'n', -length({flat}), 'x', x))), y -> y.x)"
+
+
+def valid_cards() -> str:
+    """SQL of the card numbers of t that pass Luhn, wherever they start and end, the longest in front."""
+    ok = f"filter({_candidates(_card(13)[:-4] + '{12,18}', [_card(n) for n in range(13, 20)])}, x -> {luhn_sum(_digits('x'))} % 10 = 0)"
+    return f"transform(array_sort(transform({ok}, x -> named_struct('n', -length({_digits('x')}), 'x', x))), y -> y.x)"
+
+
 def any_pii() -> str:
-    return "|".join(f"(?:{x})" for x in KINDS.values())
+    """SQL of the pattern of all kinds; of IBANs and cards, the valid ones in the columns ibans and cards."""
+
+    def listed(values: str) -> str:
+        return f"if(size({values}) > 0, concat({_q(_NOT_IN_WORD + '(?:')}, array_join({values}, '|'), {_q(')' + _END)}), '(?!)')"
+
+    each = [listed(k + "s") if k in ("iban", "card") else _q(x) for k, x in KINDS.items()]
+    return "concat('(?:', " + ", ')|(?:', ".join(each) + ", ')')"
 
 
 def kind_of(m: str) -> str:
     """SQL of the kind of a match: the first whose pattern is all of it."""
-    whens = " ".join(f"when {m} rlike {_q('^(?:' + x + ')$')} then '{k}'" for k, x in KINDS.items())
+    whens = " ".join(f"when {f'array_contains({k}s, {m})' if k in ('iban', 'card') else f'{m} rlike ' + _q('^(?:' + x + ')$')} then '{k}'" for k, x in KINDS.items())
     return f"case {whens} end"
 
 
-def _column(text: Column) -> Column:
-    return F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(any_pii()), F.lit(0)))
-
-
 def pseudonymize(docs: DataFrame, params: PiiParams, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """docs with the personal data of text_col replaced; found_col: also an array of struct<kind, pseudonym> of what was.
 
     All other columns stay as they are. Null and empty texts, and texts without valid values, come back unchanged.
-    Everything is an expression on the row: no shuffle, no Python.
+    IBANs and cards are found by their check digits first, at every start and length; the pattern of a text then names the
+    valid ones, and the other kinds' patterns fit valid values only, so what isn't valid hides nothing behind it. Everything is an expression on the row: no shuffle, no Python.
     """
     case = " ".join(f"when k = '{k}' then {pseudonym(k, 'm', params)}" for k in KINDS)
     one = _let("k", kind_of("m"), f"named_struct('kind', k, 'old', m, 'new', case {case} end)")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
-    rows = rows.withColumn("ms", _column(F.col("t")))
+    may = F.col("t").rlike("[0-9@]")
+    none = F.expr("cast(array() as array<string>)")
+    rows = rows.withColumn("ibans", F.when(may, F.expr(valid_ibans())).otherwise(none)).withColumn("cards", F.when(may, F.expr(valid_cards())).otherwise(none))
+    rows = rows.withColumn("rx", F.expr(any_pii()))
+    rows = rows.withColumn("ms", F.when(may, F.expr("regexp_extract_all(t, rx, 0)")))
     rows = rows.withColumn("found", F.expr(f"case when size(ms) > 0 then transform(ms, m -> {one}) end"))
-    parts = F.split("t", any_pii(), -1)
+    parts = F.expr("split(t, rx, -1)")
     fill = F.expr("transform(found, x -> coalesce(x.new, x.old))")
     new = F.when(F.col("found").isNotNull(), F.array_join(F.zip_with(parts, F.concat(fill, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(F.col("t"))
     out = [(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c)) for c in docs.columns]

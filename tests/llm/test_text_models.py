@@ -75,6 +75,40 @@ def test_pii_links_equal_values_in_any_form(spark):
     assert f"{d}.{m}.{y}" in b and f"{m}/{d}/{y}" in b
 
 
+def test_pii_finds_values_beside_what_fails(spark):
+    """A check that fails on a run of groups says nothing of the shorter runs in it, nor of what follows."""
+    card, at = r"(4\d{3}(?: ?\d{4}){3})", r"(AT\d\d(?: \d{4}){4})"
+    cases = [
+        ("card 4111 1111 1111 1111 12/25", "card " + card + " 12/25", luhn), ("4111111111111111 123", card + " 123", luhn), ("no 77 4111 1111 1111 1111.", "no 77 " + card + r"\.", luhn),
+        ("1234 4111 1111 1111 1111", "1234 " + card, luhn), ("AT61 1904 3002 3457 3201 EUR", at + " EUR", iban), ("ZZ99 AT61 1904 3002 3457 3201 EUR 12", "ZZ99 " + at + " EUR 12", iban),
+        ("at 2024-01-02T10:00:00Z", r"at (\d{4}-\d\d-\d\d)T10:00:00Z", dt.date.fromisoformat), ("+49 1234 1234 1234 1234", r"(\+49 \d{4} \d{4} \d{4}) 1234", lambda x: True),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonymize(df, PiiParams("k"), found_col="found").collect()}
+    for i, (text, rx, ok) in enumerate(cases):
+        m = re.fullmatch(rx, got[i]["text"])
+        assert m and ok(m[1].replace(" ", "")) and m[1] not in text and len(got[i]["found"]) == 1, (text, got[i])
+
+
+def test_pii_dates_of_the_calendar(spark):
+    """Every day that a pattern can name is one of the calendar's, and no other is taken."""
+    days = [f"{y}-{m:02}-{d:02}" for y in (1799, 1800, 1900, 1999, 2000, 2024, 2100, 2199, 2200) for m in range(14) for d in range(33)]
+    days += [f"{d}{s}{m}{s}{y}" for s in "./" for y in (1900, 2000, 2024) for m in range(1, 14) for d in range(1, 33)]
+
+    def real(t):
+        a, b, c = map(int, re.split("[-./]", t))
+        for y, m, d in [(a, b, c)] if "-" in t else [(c, b, a)] if "." in t else [(c, b, a), (c, a, b)]:
+            try:
+                dt.date(y, m, d)
+            except ValueError:
+                continue
+            return 1800 <= y < 2200
+        return False
+
+    rows = pseudonymize(spark.createDataFrame([(t,) for t in days], "text string").withColumn("t", F.col("text")), PiiParams("k"), found_col="found").collect()
+    assert len(rows) == len(days) and [r["t"] for r in rows if (len(r["found"]) == 1) != real(r["t"])] == []
+
+
 def test_pii_keeps_rows_and_columns(odd, empty):
     out = pseudonymize(odd, PiiParams("k"))
     assert out.columns == odd.columns and out.exceptAll(odd).count() == 0 and out.count() == odd.count()
