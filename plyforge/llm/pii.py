@@ -263,7 +263,8 @@ def pseudonymize(docs: DataFrame, params: PiiParams, text_col: str = "text", fou
     none = F.expr("cast(array() as array<string>)")
     rows = rows.withColumn("ibans", F.when(may, F.expr(valid_ibans())).otherwise(none)).withColumn("cards", F.when(may, F.expr(valid_cards())).otherwise(none))
     rows = rows.withColumn("rx", F.expr(any_pii()))
-    rows = rows.withColumn("ms", F.when(may, F.expr("regexp_extract_all(t, rx, 0)")))
+    # a secret is the only kind that needs neither a digit nor an @
+    rows = rows.withColumn("ms", F.when(may | F.col("t").rlike(SECRET), F.expr("regexp_extract_all(t, rx, 0)")))
     rows = rows.withColumn("found", F.expr(f"case when size(ms) > 0 then transform(ms, m -> {one}) end"))
     parts = F.expr("split(t, rx, -1)")
     fill = F.expr("transform(found, x -> coalesce(x.new, x.old))")

@@ -90,6 +90,12 @@ def test_pii_finds_values_beside_what_fails(spark):
         assert m and ok(m[1].replace(" ", "")) and m[1] not in text and len(got[i]["found"]) == 1, (text, got[i])
 
 
+def test_pii_secrets_in_texts_without_digits(spark):
+    df = spark.createDataFrame([(1, "password: abcdefghijklmnopqrst"), (2, "7 password: abcdefghijklmnopqrst")], "doc_id long, text string")
+    a, b = (r["text"] for r in pseudonymize(df, PiiParams("k")).orderBy("doc_id").collect())
+    assert "abcdefghijklmnopqrst" not in a and b == "7 " + a
+
+
 def test_pii_dates_of_the_calendar(spark):
     """Every day that a pattern can name is one of the calendar's, and no other is taken."""
     days = [f"{y}-{m:02}-{d:02}" for y in (1799, 1800, 1900, 1999, 2000, 2024, 2100, 2199, 2200) for m in range(14) for d in range(33)]
