@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plyforge.llm import toxicity
 from plyforge.llm.bpe import tokenized
 from plyforge.llm.minhash import NearDupParams, near_duplicates
-from plyforge.llm.mixing import mixed_order
+from plyforge.llm.mixing import mix, mixed_order
 from plyforge.llm.pii import pseudonymize
 from plyforge.llm.queries import PII, TARGET, id_rest, vocabulary
 from plyforge.llm.textio import documents, materialize
@@ -47,13 +47,17 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents in the order of the mix: every written file is one run of it."""
+    """The same documents in the order of the mix: every written file is one run of it. What reads them anew can't tell."""
     return mixed_order(docs, TARGET)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and round_trip of every document."""
-    return tokenized(docs, vocabulary("byte_bpe_50k.json"), ("doc_id", "lang", "source"))
+    """doc_id, lang, source, position, in_mix, n_tokens, ids and round_trip of every document, sorted by position.
+
+    Files are read in an order of their own, so the mix, which the rows alone decide, is computed again.
+    """
+    mixed = mix(docs, TARGET).orderBy("position").select("row.doc_id", "row.lang", "row.source", "position", "in_mix", "row.text")
+    return tokenized(mixed, vocabulary("byte_bpe_50k.json"), ("doc_id", "lang", "source", "position", "in_mix"))
 
 
 STAGES = [

@@ -211,6 +211,17 @@ def test_pipeline(spark, sf_dir, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "bpe"]
 
 
+def test_the_mix_reaches_the_result(spark, sf_dir, monkeypatch):
+    """Rows far from the target's shares come back in the mix's order, whatever order they were read in."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 300, "src0").otherwise(F.concat(F.lit("src"), F.col("id") % 19 + 1)).alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    monkeypatch.setattr(corpus_pipeline, "documents", lambda *_: docs.repartition(7, "doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert [r["position"] for r in got] == list(range(600))
+    inside = [r["source"] for r in got if r["in_mix"]]
+    assert len(inside) >= 100 and all(abs(inside[:n].count("src0") - 0.24 * n) <= 16 for n in range(len(inside) + 1))
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_keep_the_columns_and_odd_rows(spark, sf_dir, odd, stage):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
