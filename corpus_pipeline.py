@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows of an id leave one row; rows without an id can't be told apart as documents and stay.
     """
-    groups = near_duplicates(docs, NearDupParams(words=5, percent=80))
+    groups = near_duplicates(docs, NearDupParams(words=5, percent=80), count_links=False)
     keep = groups.where("kept").select("doc_id").distinct()
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").join(keep.hint("merge"), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))

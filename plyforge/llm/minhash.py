@@ -9,7 +9,8 @@ after `max_depth` levels hold sets that agree on all tokens of their path: they
 
 Comparing a node yields a spanning forest of its likely pairs, not all pairs; after these links are confirmed on the
 full sets and contracted to components, a second pass yields every likely pair that still crosses components. So no
-link that could join two components is lost, while a family of n mutual copies costs n links instead of n^2/2.
+link that could join two components is lost, while a family of n mutual copies costs n links instead of n^2/2. The
+links of a set are counted last, over all pairs of its component.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ _POWERS: list[np.ndarray] = []
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """words: shingle length; percent: 100 * Jaccard threshold; trees, node_limit, max_depth: see the module."""
+    """words: shingle length; percent: 100 * Jaccard threshold; trees, node_limit, max_depth: see the module.
+
+    block, block_shingles: sets or shingles of a block where large nodes or components are compared block by block.
+    """
 
     words: int = 5
     percent: int = 80
@@ -50,6 +54,7 @@ class NearDupParams:
     node_limit: int = 128
     max_depth: int = 8
     block: int = 1024
+    block_shingles: int = 1 << 19
 
     @property
     def floor(self) -> float:
@@ -340,12 +345,85 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept, n_links.
+def _overlaps(sets: np.ndarray, soff: np.ndarray, ids: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each set, how many others reach the threshold with it; with side, only pairs across it count.
+
+    The sets come in ascending size, so those that can reach it with a set follow it up to a size. The set's hashes are
+    marked and the marks summed over these sets, which gives the intersections exactly.
+    """
+    size = np.diff(soff)
+    _, code = np.unique(sets, return_inverse=True)
+    mark = np.zeros(len(sets), np.int32)
+    out = np.zeros(len(size), np.int64)
+    last = np.searchsorted(100 * size, size * 10_000 // percent, side="right")
+    for i in range(len(size) - 1):
+        e = int(last[i])
+        if e <= i + 1:
+            continue
+        own = code[soff[i] : soff[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[code[soff[i + 1] : soff[e]]], soff[i + 1 : e] - soff[i + 1])
+        mark[own] = 0
+        hit = (100 * common >= percent * (size[i] + size[i + 1 : e] - common)) & (ids[i + 1 : e] != ids[i])
+        if side is not None:
+            hit &= side[i + 1 : e] != side[i]
+        out[i] += np.count_nonzero(hit)
+        out[i + 1 : e] += hit
+    return out
+
+
+def _degrees(sets: DataFrame, labels: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(set_key, links): the confirmed links of every set of a component with links.
+
+    A component's sets are dealt to blocks of about `block_shingles` shingles, and each pair of blocks is compared whole:
+    no pair is written, only counts leave a task.
+    """
+    k, percent = p.words, p.percent
+    rows = sets.select("set_key", "id", "n").join(labels, "id")
+    sizes = rows.groupBy("label").agg(F.ceil(F.sum("n") / p.block_shingles).alias("blocks"))
+    rows = rows.join(sizes, "label").withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    rows = rows.select(F.xxhash64("label", lo, hi).alias("node"), "id", "set_key", F.when(lo == hi, -1).otherwise((F.col("mine") == lo).cast("int")).alias("side"))
+    rows = rows.join(texts.select("id", "text").hint("merge"), "id").select("node", "id", "set_key", "side", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, {}
+
+        def work() -> pa.RecordBatch:
+            found = sorted(held.items(), key=lambda x: len(x[1][0]))
+            soff = np.zeros(len(found) + 1, np.int64)
+            np.cumsum([len(s) for _, (s, _, _) in found], out=soff[1:])
+            side = np.array([x for _, (_, _, x) in found])
+            n = _overlaps(np.concatenate([s for _, (s, _, _) in found]), soff, np.array([i for _, (_, i, _) in found]), None if side[0] < 0 else side, percent)
+            return pa.RecordBatch.from_arrays([pa.array([key for key, _ in found], pa.binary()), pa.array(n, pa.int64())], names=["set_key", "links"])
+
+        for batch in batches:
+            nodes, ids, keys, sides = (batch.column(c).to_pylist() for c in range(4))
+            for i, j, data, offs in chunks(batch.column(4)):
+                hashes, soff = shingle_sets(data, offs, k)
+                for d in range(j - i):
+                    if nodes[i + d] != node:
+                        if len(held) > 1:
+                            yield work()
+                        node, held = nodes[i + d], {}
+                    s = hashes[soff[d] : soff[d + 1]]
+                    # texts of one id are told apart by their sets
+                    if keys[i + d] not in held and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == keys[i + d]:
+                        held[keys[i + d]] = (s.copy(), ids[i + d], sides[i + d])
+        if len(held) > 1:
+            yield work()
+
+    counts = rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "set_key binary, links long")
+    return counts.groupBy("set_key").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept and, with count_links, n_links.
 
     A link joins two documents with 100 * intersection >= percent * union of their shingle sets, confirmed on the full
-    sets. n_links counts the confirmed links between different sets at the document's own set (those of the spanning
-    links; copies aren't expanded).
+    sets. n_links counts all links of the document's own set to the sets of other ids in its component; copies count as
+    one set.
 
     Cases: null or empty text, or text without words: n_shingles 0, own component, kept. Null id: the row comes back
     with a null component, not kept. Repeated rows come back as often as they came, in one component; rows that share an
@@ -394,15 +472,17 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col
     if not more.isEmpty():
         links = materialize(links.unionByName(_verify(more, texts, p)), "nd-links")
         labels = connected_components(links)
+    degree = materialize(_degrees(sets, labels, texts, p), "nd-degree") if count_links else None
     for x in (*levels, tried, more, texts):
         discard(x)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    of_set = sets.select("set_key", "id").join(labels, "id", "left").join(degree, "id", "left").select("set_key", F.coalesce("label", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    of_set = sets.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("root"))
     named = feat.select("id", "n", "set_key").join(of_set, "set_key", "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return named.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(False)).alias("kept")]
+    if degree is not None:
+        named = named.join(degree, "set_key", "left")
+        out.append(F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return named.select(*out)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:

@@ -67,6 +67,24 @@ def test_family_of_mutual_copies(spark):
     assert got == brute(rows, 3, 85)[1] and len(set(got.values())) == 2
 
 
+@pytest.mark.parametrize("in_block", [1 << 19, 500])
+def test_links_are_counted_whole(spark, in_block):
+    """All pairs of a family, also where it is dealt to blocks; copies don't add any."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(40):
+        words = [f"w{i}" for i in range(120)]
+        for e in range(d % 8):
+            words[int(rng.integers(120))] = f"edit{d}x{e}"
+        rows.append((d, " ".join(words)))
+    rows += [(100, rows[3][1]), (101, "a text of its own, far from all others")]
+    sets = {i: frozenset(shingles(t, 3)) for i, t in rows}
+    want = {i: sum(100 * len(s & o) >= 85 * len(s | o) for o in set(sets.values()) - {s}) for i, s in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in near_duplicates(df, NearDupParams(3, 85, block_shingles=in_block)).collect()}
+    assert got == want and max(want.values()) > 8
+
+
 def test_odd_rows(odd, empty):
     got = near_duplicates(odd, NearDupParams(3, 85)).collect()
     assert len(got) == odd.count()
