@@ -133,7 +133,7 @@ class ByteEncoder:
     def clear(self) -> None:
         self.key = np.zeros(1 << self.bits, np.uint64)
         self.at = np.zeros(1 << self.bits, np.int32)
-        self.n = np.zeros(1 << self.bits, np.uint8)
+        self.n = np.zeros(1 << self.bits, np.int32)
         self.pool, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:

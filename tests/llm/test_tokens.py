@@ -62,6 +62,15 @@ def test_word_ids_equal_the_library(texts, library):
         assert ids == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_pieces_of_thousands_of_ids():
+    """Runs of letters or marks without a break, whose ids one byte can't count."""
+    enc = ByteEncoder(vocabulary("word_bpe_49k.json"), "<u2")
+    texts = ["qzxjkvwp" * 150, "#$%&" * 1500, "a plain text", "qzxjkvwp" * 600 + " end"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = enc.encode(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert len(got[0]) > 255 and [g.tobytes() for g in got] == [enc.slow.encode([t])[0] for t in texts]
+
+
 @pytest.mark.parametrize("n, vocab, limit", [(0, 5, 16), (1, 5, 16), (1000, 1, 16), (5000, 3000, 16), (60000, 40000, 16), (777, 500, 9), (3 * STEP, 4, 16)])
 def test_huffman_round_trip(n, vocab, limit):
     rng = np.random.default_rng(n)
