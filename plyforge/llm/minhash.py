@@ -121,7 +121,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     w = len(word)
     rolled = np.zeros(w, np.uint64)
     for i in range(k):
-        rolled[: w - i] += word[i:] * _U(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64))
+        rolled[: max(0, w - i)] += word[i:] * _U(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64))
     rolled = _mix(rolled)
     out: list[np.ndarray] = []
     for d in range(docs):

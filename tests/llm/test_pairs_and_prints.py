@@ -6,7 +6,7 @@ import pytest
 
 from plyforge.llm import minhash
 from plyforge.llm.components import connected_components
-from plyforge.llm.minhash import NearDupParams, near_duplicates
+from plyforge.llm.minhash import NearDupParams, near_duplicates, shingle_sets
 from plyforge.llm.simhash import BITS, edited_pairs, fingerprint, fingerprints, within_radius
 
 
@@ -85,6 +85,13 @@ def test_links_are_counted_whole(spark, in_block):
     assert got == want and max(want.values()) > 8
 
 
+@pytest.mark.parametrize("n", range(1, 6))
+def test_texts_of_few_words(n):
+    text = " ".join("abcde"[:n])
+    sets, offs = shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), NearDupParams().words)
+    assert len(sets) == 1 and offs.tolist() == [0, 1]
+
+
 def test_odd_rows(odd, empty):
     got = near_duplicates(odd, NearDupParams(3, 85)).collect()
     assert len(got) == odd.count()
