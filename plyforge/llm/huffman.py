@@ -1,7 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes from global counts, decoded by table in independent lanes.
 
-File (all little-endian): b"PFH1", u8 longest code, u32 vocabulary size, u32 size of the zlib-packed u8 code lengths,
-u32 number of blocks, the code lengths, then the blocks. Block: u32 documents, u64 ids, u32 checkpoint step, u32 size of
+File (all little-endian): b"PFH2", u8 longest code, u32 vocabulary size, u32 size of the zlib-packed u8 code lengths, the
+code lengths, then the blocks, and a block of no documents as the end. Block: u32 documents, u64 ids, u32 checkpoint step, u32 size of
 the zlib-packed document table (i64 document id, u32 number of ids each), u64 size of the bits; the table, the u64 bit
 offsets of the checkpoints (one every `step` ids), and the bits, most significant first. A block holds whole documents,
 and every checkpoint starts an independent lane, so a block is decoded with one table look-up per id over all its lanes
@@ -12,31 +12,27 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.llm.minhash import span_hashes
+from plyforge.llm.pieces import PieceTable, byte_letters
 from plyforge.llm.textio import chunks, discard, materialize, pick, shared_dir, small_batches
 
-MAGIC = b"PFH1"
+MAGIC = b"PFH2"
 STEP = 128
 BLOCK_IDS = 1 << 18
 MAX_BITS = 16
-#: Characters whose classes, case and normal form any Unicode version treats alike, without white space that libraries differ on.
-_PLAIN = re.compile("[\x1c-\x1f\x85İŉǰʰ-\U0010ffff]|<\\|")
-
-
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Ids of a file before coding, in bytes, past which there are more files than shuffle partitions.
+FILE_BYTES = 1 << 30
 
 
 def id_type(path: str, end_id: int | None) -> str:
@@ -47,67 +43,6 @@ def id_type(path: str, end_id: int | None) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-class UnitEncoder:
-    """Ids by a tokenizers JSON file, with the ids of the pieces between which nothing merges kept for reuse.
-
-    The file's model must be one that lower-cases, drops white space, splits by _PIECE and marks the ends of words, so
-    that pieces are independent. New pieces are encoded by the library, many in one text, and told apart by the end marks;
-    texts with characters outside the plain range, or with special tokens, go to it whole.
-    """
-
-    def __init__(self, path: str, kind: str, max_pieces: int = 900_000):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.kind, self.max_pieces = kind, max_pieces
-        self.pieces: dict[str, bytes] = {}
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, fresh: list[str]) -> None:
-        pieces, width = self.pieces, np.dtype(self.kind).itemsize
-        if len(pieces) + len(fresh) > self.max_pieces:
-            pieces.clear()
-        groups = [fresh[s : s + 500] for s in range(0, len(fresh), 500)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(group) and cut[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(cut * width).tolist()]
-                pieces.update(zip(group, [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], strict=True))
-            else:
-                pieces.update((p, self.ids(p)) for p in group)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        get, find, out, open_ = self.pieces.get, _PIECE.findall, [b""] * len(texts), []
-        for k, t in enumerate(texts):
-            if _PLAIN.search(t):
-                out[k] = self.ids(t)
-                continue
-            ps = find(t.lower())
-            found = list(map(get, ps))
-            if None in found:
-                open_.append((k, ps, found))
-            else:
-                out[k] = b"".join(found)
-        if open_:
-            before = len(self.pieces)
-            fresh = {p for _, ps, found in open_ for p, f in zip(ps, found, strict=True) if f is None}
-            self.learn(list(fresh))
-            if len(self.pieces) < before + len(fresh):  # the bound was reached and the pieces began anew
-                self.learn(list({p for _, ps, _ in open_ for p in ps if p not in self.pieces}))
-            for k, ps, _ in open_:
-                out[k] = b"".join(map(self.pieces.__getitem__, ps))
-        return out
-
-
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
 _CLASS[33:127] = _OTHER
@@ -122,54 +57,46 @@ _DOWN[65:91] += 32
 class ByteEncoder:
     """Ids of many texts at once over their UTF-8 bytes: pieces are found, hashed and looked up as arrays.
 
-    A table of 64-bit piece hashes holds where each known piece's ids lie. Pieces that it doesn't hold are encoded by the
-    library; so are, whole, the texts with other characters than ASCII and the Latin-1 letters, or with special tokens.
+    The file's model must be one that lower-cases, drops white space, splits off 's 't 're 've 'm 'll 'd, runs of letters,
+    single digits and runs of other marks, and marks the ends of words, so that pieces are independent. New pieces are encoded by the library, many in one text, and told apart by the end marks;
+    texts with other characters than ASCII and the Latin-1 letters, or with special tokens, go to it whole.
     """
 
-    def __init__(self, path: str, kind: str, bits: int = 22):
-        self.slow, self.kind, self.bits = UnitEncoder(path, kind, 100_000), kind, bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.zeros(1 << self.bits, np.uint64)
-        self.at = np.zeros(1 << self.bits, np.int32)
-        self.n = np.zeros(1 << self.bits, np.int32)
-        self.pool, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each hash, -1 where it isn't held (0 marks a free slot and is never a hash)."""
-        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(64 - self.bits)
-        slot = h >> shift
-        out = np.full(len(h), -1, np.int64)
-        k = self.key[slot]
-        hit = k == h
-        out[hit] = slot[hit]
-        todo = np.flatnonzero(~hit & (k != 0))
-        while len(todo):
-            slot[todo] = (slot[todo] + np.uint64(1)) & mask
-            k = self.key[slot[todo]]
-            hit = k == h[todo]
-            out[todo[hit]] = slot[todo[hit]]
-            todo = todo[~hit & (k != 0)]
-        return out
+    def __init__(self, path: str, kind: str, most: int = 1 << 19, most_bytes: int = 16 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def learn(self, h: list[int], pieces: list[str]) -> None:
-        if self.held + len(h) > 1 << (self.bits - 1):
-            self.clear()
-        self.slow.learn(pieces)
-        ids = [np.frombuffer(self.slow.pieces[p], self.kind) for p in pieces]
-        need = self.used + sum(map(len, ids))
-        if need > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(need, len(self.pool)), self.kind)))
-        mask, key = (1 << self.bits) - 1, self.key
-        for x, i in zip(h, ids, strict=True):
-            slot = x >> (64 - self.bits)
-            while key[slot]:
-                slot = (slot + 1) & mask
-            key[slot], self.at[slot], self.n[slot] = x, self.used, len(i)
-            self.pool[self.used : self.used + len(i)] = i
-            self.used += len(i)
-        self.held += len(h)
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        #: the library's model alone, for pieces that are split and lower-cased already
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
+        self.kind = np.dtype(kind)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.table = PieceTable(kind, most, most_bytes)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, how many each has) of pieces of raw."""
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        groups = [[raw[a:b].decode("latin-1") for a, b in spans[s : s + 500]] for s in range(0, len(spans), 500)]
+        out, sizes = [], []
+        for group, e in zip(groups, self.model.encode_batch_fast([t if t.isascii() else t.translate(self.letters) for t in map(" ".join, groups)], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                out.append(ids)
+                sizes.append(np.diff(cut, prepend=0))
+            else:
+                each = [self.whole(p.encode("latin-1").decode()) for p in group]
+                out += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(out) if out else np.zeros(0, self.kind), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
     def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(lower-cased bytes, starts, ends) of the pieces, texts with odd characters included as they come."""
@@ -205,53 +132,41 @@ class ByteEncoder:
         docs = len(offs) - 1
         if not len(data):
             return [np.zeros(0, self.kind)] * docs
+        self.table.begin()
         odd = np.zeros(len(data) + 1, np.int64)
         wrong = _CLASS[data] == _ODD
-        nxt = np.append(data[1:], 0)
+        nxt, prv = np.append(data[1:], 0), np.append(0, data[:-1])
+        two = (data & 0xC0) == 0x80
+        wrong |= two != (prv == 0xC3)  # half a letter
         wrong |= (data == 0xC3) & ((nxt == 0x97) | (nxt == 0xB7))
         wrong |= (data == 60) & (nxt == 124)
+        wrong[-1] |= data[-1] == 0xC3
         np.cumsum(wrong, out=odd[1:])
         slow = odd[offs[1:]] > odd[offs[:-1]]
         low, starts, ends = self.pieces(data, offs)
-        h = span_hashes(low, starts, ends)
-        h[h == 0] = 1
-        own = np.searchsorted(starts, offs)  # pieces of each text
-        skip = np.repeat(slow, np.diff(own))
-        slot = self.find(h)
-        new = np.flatnonzero((slot < 0) & ~skip)
-        if len(new):
-            self._learn_at(h, low, starts, ends, new)
-            slot = self.find(h)
-            if (slot[~skip] < 0).any():  # the table began anew
-                self._learn_at(h, low, starts, ends, np.flatnonzero((slot < 0) & ~skip))
-                slot = self.find(h)
-        slot[skip] = 0
-        n = self.n[slot].astype(np.int64)
-        n[skip] = 0
-        end = np.cumsum(n)
-        total = int(end[-1]) if len(end) else 0
-        flat = self.pool[np.arange(total) + np.repeat(self.at[slot] - (end - n), n)]
-        bound = np.concatenate(([0], end))[own]
-        out = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        if slow.any():
+            keep = ~slow[np.searchsorted(offs, starts, side="right") - 1]
+            starts, ends = starts[keep], ends[keep]
+        raw = low.tobytes()
+        flat, n = self.table.ids_of(self.table.numbers(low, starts, ends, lambda s, e: self.learn(raw, s, e)))
+        bound = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=bound[1:])
+        bound = bound[np.searchsorted(starts, offs)].tolist()
+        out = [flat[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
         for d in np.flatnonzero(slow):
-            text = data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")
-            out[d] = np.frombuffer(self.slow.encode([text])[0], self.kind)
+            out[d] = self.whole(data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace"))
         return out
 
-    def _learn_at(self, h, low, starts, ends, new) -> None:
-        hashes, first = np.unique(h[new], return_index=True)
-        first, raw = new[first], low.tobytes()
-        self.learn(hashes.tolist(), [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-
 
-_ENCODERS: dict[str, ByteEncoder] = {}
+_KEPT: list = []
 
 
 def encoder(path: str, kind: str) -> ByteEncoder:
-    if path not in _ENCODERS:
+    """The worker's encoder, kept between tasks: one at a time, its table of pieces within some 40 MB."""
+    if not _KEPT or _KEPT[0] != (path, kind):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ByteEncoder(path, kind)
-    return _ENCODERS[path]
+        _KEPT[:] = [(path, kind), ByteEncoder(path, kind)]
+    return _KEPT[1]
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -345,19 +260,22 @@ def write_block(book: Codebook, ids: list[int], docs: list[np.ndarray]) -> bytes
     return struct.pack("<IQIIQ", len(docs), len(flat), STEP, len(packed), len(raw)) + packed + marks.astype("<u8").tobytes() + raw
 
 
-def write_file(book: Codebook, blocks: list[bytes]) -> bytes:
+def file_head(book: Codebook) -> bytes:
     packed = zlib.compress(book.lengths.tobytes(), 6)
-    return MAGIC + struct.pack("<BIII", book.bits, len(book.lengths), len(packed), len(blocks)) + packed + b"".join(blocks)
+    return MAGIC + struct.pack("<BII", book.bits, len(book.lengths), len(packed)) + packed
+
+
+FILE_END = struct.pack("<I", 0)
 
 
 def read_file(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document ids, numbers of ids, ids) of each block of an open file."""
     if f.read(4) != MAGIC:
         raise ValueError("not a token-id file")
-    _, vocab, packed, blocks = struct.unpack("<BIII", f.read(13))
+    _, vocab, packed = struct.unpack("<BII", f.read(9))
     book = Codebook(np.frombuffer(zlib.decompress(f.read(packed)), np.uint8)[:vocab])
-    for _ in range(blocks):
-        ndocs, n, step, packed, size = struct.unpack("<IQIIQ", f.read(28))
+    while (ndocs := struct.unpack("<I", f.read(4))[0]) > 0:
+        n, step, packed, size = struct.unpack("<QIIQ", f.read(24))
         if step != STEP:
             raise ValueError(f"checkpoint step {step}")
         table = np.frombuffer(zlib.decompress(f.read(packed)), [("id", "<i8"), ("n", "<u4")])[:ndocs]
@@ -401,39 +319,42 @@ def global_counts(encoded: DataFrame, kind: str) -> np.ndarray:
     return out
 
 
-def write_files(encoded: DataFrame, kind: str, lengths: np.ndarray, folder: str) -> DataFrame:
-    """Write (id, n, ids) in ascending id order, one file per range of ids: (part, path, n_docs, n_ids).
+def write_files(encoded: DataFrame, kind: str, lengths: np.ndarray, folder: str, parts: int) -> DataFrame:
+    """Write (id, n, ids) in ascending id order, one file for each of `parts` ranges of ids: (part, path, n_docs, n_ids).
 
-    A task that runs again writes under another name; only the returned rows name valid files.
+    Blocks are written as they fill, so a range may be of any size. A task that runs again writes under another name; only
+    the returned rows name valid files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        book, part = Codebook(lengths), TaskContext.get().partitionId()
-        blocks, ids, docs, held, n_docs, n_ids = [], [], [], 0, 0, 0
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                d = np.frombuffer(raw.as_buffer(), kind)
-                ids.append(i)
-                docs.append(d)
-                held += len(d)
-                n_docs, n_ids = n_docs + 1, n_ids + len(d)
-                if held >= BLOCK_IDS:
-                    blocks.append(write_block(book, ids, docs))
-                    ids, docs, held = [], [], 0
-        if docs:
-            blocks.append(write_block(book, ids, docs))
-        if not blocks:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
+        book, part = Codebook(lengths), TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.pfh"
+        ids, docs, held, n_docs, n_ids = [], [], 0, 0, 0
         with fs.open_output_stream(f"{base}/{name}") as f:
-            f.write(write_file(book, blocks))
+            f.write(file_head(book))
+            for batch in chain([first], batches):
+                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    d = np.frombuffer(raw.as_buffer(), kind)
+                    ids.append(i)
+                    docs.append(d)
+                    held += len(d)
+                    n_docs, n_ids = n_docs + 1, n_ids + len(d)
+                    if held >= BLOCK_IDS:
+                        f.write(write_block(book, ids, docs))
+                        ids, docs, held = [], [], 0
+            if docs:
+                f.write(write_block(book, ids, docs))
+            f.write(FILE_END)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
 
-    return encoded.select("id", "ids").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "part long, path string, n_docs long, n_ids long")
+    return encoded.select("id", "ids").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "part long, path string, n_docs long, n_ids long")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -469,6 +390,8 @@ def token_files(docs: DataFrame, path: str, end_id: int | None = 2, id_col: str
     counts = global_counts(encoded, kind)
     limit = max(MAX_BITS, int(np.count_nonzero(counts)).bit_length() + 1)
     lengths = code_lengths(counts, limit)
-    files = materialize(write_files(encoded, kind, lengths, f"{shared_dir(spark)}/huf-{uuid.uuid4().hex}"), "huf-files")
+    size = int(counts.sum()) * np.dtype(kind).itemsize
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    files = materialize(write_files(encoded, kind, lengths, f"{shared_dir(spark)}/huf-{uuid.uuid4().hex}", parts), "huf-files")
     discard(encoded)
     return read_documents(files).withColumnRenamed("id", id_col)

@@ -25,20 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.llm.components import connected_components
+from plyforge.llm.pieces import mix, span_hashes
 from plyforge.llm.textio import chunks, discard, materialize, pick, small_batches
 
 FUNCS = 96
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(1, 2**63, FUNCS, dtype=np.uint64)
 _MUL = _RNG.integers(1, 2**63, FUNCS, dtype=np.uint64) | _U(1)
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += _U(32)
-_LOWER += _U(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-_POWERS: list[np.ndarray] = []
 
 
 @dataclass(frozen=True)
@@ -63,34 +61,6 @@ class NearDupParams:
         return p - 5 * (p * (1 - p) / FUNCS) ** 0.5
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
-    x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
-    return x
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
-        inverse = pow(_BASE, -1, 1 << 64)
-        p = np.full(size, _BASE, np.uint64)
-        q = np.full(size, inverse, np.uint64)
-        p[0] = q[0] = 1
-        _POWERS[:] = [np.cumprod(p), np.cumprod(q)]
-    return _POWERS[0], _POWERS[1]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of data, A-Z as a-z."""
-    p, q = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * p[: len(data)], out=total[1:])
-    return _mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
-
-
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of the texts, and the words' offsets by text.
 
@@ -105,7 +75,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.empty(len(data), bool)
     after[-1], after[:-1] = False, is_word[1:]
     ends = np.flatnonzero(is_word & (~after | edge[1:])) + 1
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offs)
+    return span_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offs)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +92,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     rolled = np.zeros(w, np.uint64)
     for i in range(k):
         rolled[: max(0, w - i)] += word[i:] * _U(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64))
-    rolled = _mix(rolled)
+    rolled = mix(rolled)
     out: list[np.ndarray] = []
     for d in range(docs):
         n = count[d]
@@ -136,7 +106,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
                 s = s[keep]
         elif n:
             whole = word[woff[d] : woff[d + 1]] * np.array([pow(0x9FB21C651E98DF25, i + 1, 1 << 64) for i in range(n)], np.uint64)
-            s = _mix(np.array([whole.sum(dtype=np.uint64) + _U(n)], np.uint64))
+            s = mix(np.array([whole.sum(dtype=np.uint64) + _U(n)], np.uint64))
         else:
             s = rolled[:0]
         out.append(s)
@@ -173,7 +143,7 @@ def set_features(docs: DataFrame, p: NearDupParams, id_col: str = "doc_id", text
                 size = np.diff(soff)
                 full = np.flatnonzero(size)
                 mh = minwise(sets, soff)
-                node = _mix((mh[:, :trees].astype(np.uint64) << _U(8)) + salt).view(np.int64)
+                node = mix((mh[:, :trees].astype(np.uint64) << _U(8)) + salt).view(np.int64)
                 sig = np.ascontiguousarray((mh & 0xFF).astype(np.uint8))
                 keys = [hashlib.blake2b(sets[soff[d] : soff[d + 1]].tobytes(), digest_size=16).digest() for d in range(j - i)]
                 noff = np.zeros(j - i + 1, np.int32)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.llm.minhash import _U, _mix, word_hashes
+from plyforge.llm.minhash import _U, word_hashes
+from plyforge.llm.pieces import mix
 from plyforge.llm.textio import pick, small_batches
 
 BITS = 128
@@ -33,14 +34,14 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         return out
     word, woff = word_hashes(data, offs)
     pair = word.copy()
-    pair[:-1] = _mix(word[:-1] * _U(0x9E3779B97F4A7C15) + word[1:] * _U(0xC2B2AE3D27D4EB4F))
+    pair[:-1] = mix(word[:-1] * _U(0x9E3779B97F4A7C15) + word[1:] * _U(0xC2B2AE3D27D4EB4F))
     for d in range(len(texts)):
         a, b = woff[d], woff[d + 1]
         if a == b:
             continue
         terms, n = np.unique(pair[a : b - 1] if b - a > 1 else word[a:b], return_counts=True)
         both = np.empty((len(terms), 2), ">u8")
-        both[:, 0], both[:, 1] = terms, _mix(terms ^ _U(0x5851F42D4C957F2D))
+        both[:, 0], both[:, 1] = terms, mix(terms ^ _U(0x5851F42D4C957F2D))
         weight = (1 + np.log(n)).astype(np.float32)
         # whole texts, but the bits of only so many terms at a time
         votes = np.zeros(BITS)

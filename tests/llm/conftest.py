@@ -1,3 +1,6 @@
+import base64 as base64lib
+import random
+
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, row string, label int"
@@ -23,3 +26,17 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def long_texts():
+    """Texts of a megabyte each, of kinds that patterns and piece tables may choke on."""
+    rng, n = random.Random(5), 1 << 20
+    base64 = base64lib.b64encode(rng.randbytes(3 * n // 4)).decode()
+    return ["a" * n, "a." * (n // 2), "_" * n, base64, "x@" + "a." * (n // 2) + "com", "4" * n, "4111 " * (n // 5), "é" * (n // 2), "AB12 " * (n // 5)]
+
+
+@pytest.fixture(scope="session")
+def long(spark, long_texts):
+    """The same as documents."""
+    return spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(long_texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
