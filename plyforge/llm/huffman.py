@@ -357,8 +357,9 @@ def write_files(encoded: DataFrame, kind: str, lengths: np.ndarray, folder: str,
     return encoded.select("id", "ids").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "part long, path string, n_docs long, n_ids long")
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, decoded from the files; start counts all ids before it."""
+def read_documents(files: DataFrame, parts: int) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, decoded from the files, about one a task; start counts all ids
+    before it."""
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     listed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
 
@@ -374,7 +375,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + off[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
                         base += int(off[-1])
 
-    return listed.select("path", "base").repartition(F.col("path")).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return listed.select("path", "base").repartition(parts, "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,4 +395,4 @@ def token_files(docs: DataFrame, path: str, end_id: int | None = 2, id_col: str
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     files = materialize(write_files(encoded, kind, lengths, f"{shared_dir(spark)}/huf-{uuid.uuid4().hex}", parts), "huf-files")
     discard(encoded)
-    return read_documents(files).withColumnRenamed("id", id_col)
+    return read_documents(files, parts).withColumnRenamed("id", id_col)

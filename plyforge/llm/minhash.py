@@ -16,7 +16,7 @@ links of a set are counted last, over all pairs of its component.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plyforge.llm.components import connected_components
 from plyforge.llm.pieces import mix, span_hashes
-from plyforge.llm.textio import chunks, discard, materialize, pick, small_batches
+from plyforge.llm.textio import CHUNK_BYTES, chunks, discard, materialize, pick, small_batches, string_buffers
 
 FUNCS = 96
 _U = np.uint64
@@ -208,10 +208,25 @@ def _forest(m: int, est: np.ndarray, ij: tuple[np.ndarray, np.ndarray], ok: np.n
     return out
 
 
+def _grown_forest(m: int, likely: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """The same for many sets, one set's row of pairs at a time (Prim): likely(v) gives all estimates of v and which count."""
+    best, link, todo, out = np.full(m, -1.0), np.full(m, -1), np.ones(m, bool), []
+    for _ in range(m):
+        v = int(np.where(todo, best, -2.0).argmax())
+        todo[v] = False
+        if link[v] >= 0:
+            out.append((min(v, int(link[v])), max(v, int(link[v]))))
+        est, ok = likely(v)
+        nearer = ok & todo & (est > best)
+        best[nearer], link[nearer] = est[nearer], v
+    return out
+
+
 def _compare(rows: DataFrame, p: NearDupParams, forest: bool) -> DataFrame:
     """Pairs of ids within each node that are likely to reach the threshold; rows: node, id, n, sig[, label].
 
-    With forest, a spanning forest of them; else all whose labels differ.
+    With forest, a spanning forest of them, likeliest first; else all whose labels differ. A node of m sets is compared
+    row by row or in strips, so that a task holds some thousand pairs at a time beside the node.
     """
     floor, percent = p.floor, p.percent
 
@@ -244,15 +259,21 @@ def _compare(rows: DataFrame, p: NearDupParams, forest: bool) -> DataFrame:
             for s, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
                 if label is not None and (label[s : s + m] == label[s]).all():
                     continue
-                for lo in range(0, 1 if forest else m, 256):  # all pairs in strips; a forest needs them at once
-                    ij = np.triu_indices(m, 1) if forest else tuple(x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + 256, m)), np.arange(m), indexing="ij"))
-                    if not forest:
-                        up = ij[0] < ij[1]
-                        ij = (ij[0][up], ij[1][up])
-                    est, ok = node_pairs(ids, n, sig, label, ij[0] + s, ij[1] + s)
-                    e = np.array(_forest(m, est, ij, ok), np.int64) if forest else np.flatnonzero(ok)
-                    left.append(ij[0][e] + s)
-                    right.append(ij[1][e] + s)
+                if forest and m > 64:
+                    own = slice(s, s + m)
+                    found = _grown_forest(m, lambda v, own=own: node_pairs(ids[own], n[own], sig[own], None, slice(v, v + 1), slice(None)))
+                    left.append(np.array([a for a, _ in found], np.int64) + s)
+                    right.append(np.array([b for _, b in found], np.int64) + s)
+                    continue
+                strip = m if forest else max(1, 65536 // m)
+                for lo in range(0, m - 1, strip):
+                    first = np.arange(lo, min(lo + strip, m - 1))
+                    i = np.repeat(first, m - 1 - first)
+                    j = np.concatenate([np.arange(k + 1, m) for k in first.tolist()])
+                    est, ok = node_pairs(ids, n, sig, label, i + s, j + s)
+                    e = np.array(_forest(m, est, (i, j), ok), np.int64) if forest else np.flatnonzero(ok)
+                    left.append(i[e] + s)
+                    right.append(j[e] + s)
             i = np.concatenate(left) if left else np.zeros(0, np.int64)
             j = np.concatenate(right) if right else np.zeros(0, np.int64)
             a, b = ids[i], ids[j]
@@ -293,19 +314,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[np.ndarray] = []
-            sides = [list(chunks(batch.column(c), 1 << 30)) for c in (2, 3)]
-            for (i, j, da, oa), (_, _, db, ob) in zip(*sides, strict=True):
-                for s in range(0, j - i, 64):
-                    e = min(s + 64, j - i)
-                    sa, fa = shingle_sets(da[oa[s] : oa[e]], oa[s : e + 1] - oa[s], k)
-                    sb, fb = shingle_sets(db[ob[s] : ob[e]], ob[s : e + 1] - ob[s], k)
-                    for d in range(e - s):
-                        x, y = sa[fa[d] : fa[d + 1]], sb[fb[d] : fb[d + 1]]
-                        both = np.concatenate((x, y))
-                        both.sort()
-                        common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if common and 100 * common >= percent * (len(both) - common):
-                            keep.append(i + s + d)
+            (da, oa), (db, ob) = (string_buffers(batch.column(c)) for c in (2, 3))
+            s = 0
+            while s < batch.num_rows:  # runs of pairs by the bytes of both sides
+                size = oa[s + 1 :] - oa[s] + ob[s + 1 :] - ob[s]
+                e = s + max(1, int(np.searchsorted(size[:64], CHUNK_BYTES, side="right")))
+                sa, fa = shingle_sets(da[oa[s] : oa[e]], oa[s : e + 1] - oa[s], k)
+                sb, fb = shingle_sets(db[ob[s] : ob[e]], ob[s : e + 1] - ob[s], k)
+                for d in range(e - s):
+                    x, y = sa[fa[d] : fa[d + 1]], sb[fb[d] : fb[d + 1]]
+                    both = np.concatenate((x, y))
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if common and 100 * common >= percent * (len(both) - common):
+                        keep.append(s + d)
+                s = e
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one of this machine only where that is unset and all runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             found = own.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             found = "file://" + tempfile.mkdtemp(prefix="plyforge-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/")
 
 
@@ -35,7 +35,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plyforge_path = path
     return out
@@ -50,10 +49,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by bytes: a batch of very long texts must not fill a Python worker."""
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound an Arrow batch by bytes: a batch of very long texts must not fill a Python worker. A lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +83,8 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, on all cores: a table of a few MB a core, which may be one file without a place to split, is
-    dealt out; larger ones are read as they are."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(cores) if size < (cores << 22) else docs
+    """The documents table."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pick(docs: DataFrame, *cols: str) -> DataFrame:
