@@ -15,7 +15,7 @@ from plyforge.llm.mixing import MixParams, mix, oracle as mix_oracle
 from plyforge.llm.ogg import media_round_trip
 from plyforge.llm.pii import PiiParams, pseudonymize
 from plyforge.llm.sharding import shard_documents
-from plyforge.llm.simhash import edited_pairs
+from plyforge.llm.simhash import edited_pairs, near_prints
 from plyforge.llm.textio import documents
 
 
@@ -34,13 +34,13 @@ def id_rest(n: int) -> Column:
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs, id_rest(5) != 0)
-    return langid.predict(docs, model).select("doc_id", (id_rest(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(id_rest(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_rest(4) != 2)
-    return toxicity.score(docs, model).select("doc_id", (id_rest(4) == 2).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(id_rest(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 #: A third of the rows may be of src0; the mix gives it a quarter.
@@ -67,7 +67,7 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_pairs(documents(spark, sf_dir))
+    return near_prints(edited_pairs(documents(spark, sf_dir)), 3, F.col("doc_id") % 50 == 0)
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Shards of near-equal size from indivisible groups: best-fit-decreasing bin packing.
 
-Groups of equal texts must not be split. Large groups are items of their own; the rest, by hash, are gathered in crates:
-most of them in coarse crates and a hundredth in fine ones, which fill the last gaps. So the packer sees a bounded number
-of items however many documents there are. Items in descending size enter the bin with the tightest remaining capacity,
-found in a balanced tree; the capacity is the smallest for which all items fit, found by bisection.
+Groups of equal texts must not be split. Groups in descending size enter the bin with the tightest remaining capacity,
+found in a balanced tree; the capacity is the smallest for which all groups fit, found by bisection. Groups of one size
+are interchangeable, and once one has entered a bin, the bin stays the tightest for the next as long as it has room: so
+the packer gets one row a distinct size, with the number of groups, and gives runs of them to bins, with the same result
+as group by group. Distinct sizes number sqrt(2 * bytes of all texts) at most.
 """
 
 from __future__ import annotations
@@ -11,14 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.llm.textio import materialize, pick
+from plyforge.llm.textio import discard, materialize, pick
 
-COARSE = 4096
-FINE = 4096
-LARGE = 2048  # a group above total / LARGE is an item of its own: at most so many
+LARGE = 2048  # a group above total / LARGE takes its shard from a map, not a join: at most so many, however often the text occurs
 
 
 class _Tree:
@@ -84,20 +84,36 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int, bins: int | None =
     return out
 
 
-def balance(sizes: list[int], bins: int) -> list[int]:
-    """Bins for all items with the least capacity that best-fit-decreasing finds feasible by bisection."""
-    low = max(-(-sum(sizes) // bins), max(sizes, default=0))
-    best, step = best_fit_decreasing(sizes, low, bins), 1
+def pack_runs(runs: list[tuple[int, int]], capacity: int, bins: int) -> list[tuple[int, int, int]] | None:
+    """(size, number, bin) by best-fit-decreasing of runs (size, number) in descending size; None if they don't fit."""
+    tree, made, out = _Tree(), 0, []
+    for size, n in runs:
+        while n:
+            found = tree.take_tightest(size)
+            if found is None:
+                if made == bins or size > capacity:
+                    return None
+                found, made = (capacity, made), made + 1
+            k = min(n, found[0] // size)
+            out.append((size, k, found[1]))
+            tree.add((found[0] - k * size, found[1]))
+            n -= k
+    return out
+
+
+def balance(runs: Iterable[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """pack_runs with the least capacity that it finds feasible by bisection."""
+    runs = sorted(runs, reverse=True)
+    low = max(-(-sum(s * n for s, n in runs) // bins), runs[0][0] if runs else 0)
+    best, step = pack_runs(runs, low, bins), 1
     high = low
     while best is None:
-        high = low + step
-        best = best_fit_decreasing(sizes, high, bins)
-        step *= 2
-    for _ in range(12):
-        if high <= low:
-            break
+        low, high = high + 1, low + step
+        best = pack_runs(runs, high, bins)
+        step *= 4
+    while low < high:
         mid = (low + high) // 2
-        tried = best_fit_decreasing(sizes, mid, bins)
+        tried = pack_runs(runs, mid, bins)
         if tried is None:
             low = mid + 1
         else:
@@ -105,15 +121,25 @@ def balance(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
+def _numbered(rows: DataFrame, by: str, order: list[str], parts: int, part: str) -> DataFrame:
+    """rows with nth, from 0 without gaps within `by`: numbered part by part, so that no task sees more than one part."""
+    sums = rows.groupBy(by, part).agg(F.count(F.lit(1)).alias("n"))
+    base = sums.select(by, part, (F.sum("n").over(Window.partitionBy(by).orderBy(part)) - F.col("n")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy(by, part).orderBy(*order)) - 1
+    return rows.withColumn("rank", rank).join(base, [by, part]).withColumn("nth", (F.col("rank") + F.col("base")).cast("long")).drop("rank", "base", part)
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each document, under the law `bytes`.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1, crc32 of nothing). Equal texts share a shard, null and empty
-    ones too; shard sizes are as equal as the groups allow. slot numbers a shard's rows from 0 without gaps. grown_shard is
-    null: this law makes no promise on growth. Repeated rows are rows of their own; null ids are kept. Other columns
-    aren't read; an empty table gives an empty result.
+    ones too; shard sizes are as equal as the groups allow. Ties: groups of one size go to its bins in the order of hashes
+    of their texts. slot numbers a shard's rows from 0 without gaps. grown_shard is null: this law makes no promise on
+    growth. Repeated rows are rows of their own; null ids are kept. Other columns aren't read; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
+    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = pick(docs, id_col, text_col).select(
         F.col(id_col).cast("long").alias("id"),
@@ -122,33 +148,27 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         F.xxhash64(text).alias("group"),
     )
     rows = materialize(rows, "shard-rows")
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("part", F.pmod(F.xxhash64("group", F.lit(11)), F.lit(parts)).cast("int"))
     groups = materialize(groups, "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = {r[0]: r[1] for r in groups.where(F.col("bytes") * LARGE > total).select("group", "bytes").collect()}
-    h = F.xxhash64("group", F.lit(7))
-    crate = F.when(F.pmod(h, F.lit(100)) == 0, COARSE + F.pmod(F.xxhash64(h), F.lit(FINE))).otherwise(F.pmod(F.xxhash64(h), F.lit(COARSE))).cast("int")
-    crates = {r[0]: r[1] for r in groups.where(F.col("bytes") * LARGE <= total).groupBy(crate.alias("crate")).agg(F.sum("bytes")).collect()}
-    items = [(b, 0, g) for g, b in large.items()] + [(b, 1, c) for c, b in crates.items()]
-    items.sort(key=lambda x: (-x[0], x[1], x[2]))
-    where = balance([x[0] for x in items], shards)
-    of_crate = [0] * (COARSE + FINE)
-    of_large: dict[int, int] = {}
-    for (_, kind, key), s in zip(items, where, strict=True):
-        if kind:
-            of_crate[key] = s
-        else:
-            of_large[key] = s
-    shard = F.element_at(F.array(*[F.lit(s) for s in of_crate]), crate + 1)
-    if of_large:
-        own = F.element_at(F.create_map(*[x for g, s in sorted(of_large.items()) for x in (F.lit(g), F.lit(s))]), F.col("group"))
-        shard = F.coalesce(own, shard)
-    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialize(rows.select("id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(parts)).cast("int").alias("part")), "shard-placed")
-    # a shard's rows are numbered part by part: the parts' counts are few, and no task sees more than one part
-    sums = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    base = sums.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size"))
-    return placed.withColumn("rank", rank).join(base, ["shard", "part"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - 1 + F.col("base")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    runs = list(zip(sizes["bytes"].tolist(), sizes["n"].tolist(), strict=True))
+    plan = pd.DataFrame(balance(runs, shards), columns=["bytes", "k", "shard"], dtype="int64")
+    plan["till"] = plan.groupby("bytes")["k"].cumsum()
+    plan["from"] = plan["till"] - plan["k"]
+    plan = spark.createDataFrame(plan, "bytes long, k long, shard long, till long, from long").select("bytes", "from", "till", F.col("shard").cast("int").alias("shard"))
+    of_group = _numbered(groups, "bytes", ["group"], parts, "part").join(plan, "bytes").where("nth >= from and nth < till").select("group", "bytes", "shard")
+    of_group = materialize(of_group, "shard-of-group")
+    total = sum(s * n for s, n in runs)
+    large = {r[0]: r[1] for r in of_group.where(F.col("bytes") * LARGE > total).select("group", "shard").collect()}
+    known = F.col("group").isin(*large)
+    placed = rows.where(~known).join(of_group.select("group", "shard"), "group")
+    if large:
+        own = F.create_map(*[x for g, s in sorted(large.items()) for x in (F.lit(g), F.lit(s))])
+        placed = placed.unionByName(rows.where(known).withColumn("shard", F.element_at(own, F.col("group"))))
+    placed = placed.select("id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(parts)).cast("int").alias("part"))
+    placed = materialize(placed, "shard-placed")
+    for x in (rows, groups, of_group):
+        discard(x)
+    return _numbered(placed, "shard", ["id", "text_crc32", "size"], parts, "part").select(
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

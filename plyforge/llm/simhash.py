@@ -13,12 +13,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.llm.minhash import _U, word_hashes
 from plyforge.llm.pieces import mix
-from plyforge.llm.textio import pick, small_batches
+from plyforge.llm.textio import materialize, pick, small_batches
 
 BITS = 128
 
@@ -71,15 +71,12 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return pick(docs, id_col, text_col).mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _halves(c: Column) -> tuple[Column, Column]:
-    return tuple(F.conv(F.substring(c, s, 16), 16, -10).cast("long") for s in (1, 17))
-
-
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int, col: str = "fingerprint") -> DataFrame:
     """(query, fingerprint, distance): for every distinct fingerprint of queries, all distinct ones of prints in the radius.
 
     Equal fingerprints are one row on either side: join them back to their documents. Nulls are left out. The tables'
-    keys are hashed blocks; a hot key splits like any skewed join, and every candidate is compared on all bits.
+    keys are hashed blocks; a hot key splits like any skewed join, and every candidate is compared on all bits. A pair
+    comes from the first table alone whose key it shares, so pairs need no shuffle of their own.
     """
     blocks = radius + 2
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -89,12 +86,57 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int, col: str =
         bits = F.concat(*[F.lpad(F.conv(F.substring(name, s, 8), 16, 2), 32, "0") for s in (1, 9, 17, 25)])
         part = [F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
         keys = [F.xxhash64(F.lit(t), part[i], part[j]) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-        return rows.select(name, F.explode(F.array(*keys)).alias("key"))
+        halves = [F.conv(F.substring(name, s, 16), 16, -10).cast("long").alias(f"{name}_{s}") for s in (1, 17)]
+        return rows.select(*halves, F.explode(F.array(*keys)).alias("key"))
 
     met = tables(queries, "query").join(tables(prints, "fingerprint"), "key")
-    (qa, qb), (pa_, pb) = _halves(F.col("query")), _halves(F.col("fingerprint"))
-    distance = F.bit_count(qa.bitwiseXOR(pa_)) + F.bit_count(qb.bitwiseXOR(pb))
-    return met.select("query", "fingerprint", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    xor = [F.col(f"query_{s}").bitwiseXOR(F.col(f"fingerprint_{s}")) for s in (1, 17)]
+    distance = F.bit_count(xor[0]) + F.bit_count(xor[1])
+
+    def hexed(name: str) -> Column:
+        return F.lower(F.concat(*[F.lpad(F.hex(f"{name}_{s}"), 16, "0") for s in (1, 17)])).alias(name)
+
+    near = met.withColumn("distance", distance).where(F.col("distance") <= radius)
+    return near.select(hexed("query"), hexed("fingerprint"), "distance").distinct()
+
+
+def near_prints(pairs: DataFrame, radius: int, queries: Column, col: str = "fingerprint") -> DataFrame:
+    """pairs with near_prints: for the rows of queries, how many other distinct fingerprints lie in the radius; else null."""
+    asked = pairs.where(queries)
+    counts = within_radius(pairs, asked, radius, col).where("distance > 0").groupBy("query").agg(F.count(F.lit(1)).alias("near_prints"))
+    found = asked.join(counts.withColumnRenamed("query", col), col, "left").withColumn("near_prints", F.coalesce("near_prints", F.lit(0).cast("long")))
+    return pairs.where(~F.coalesce(queries, F.lit(False))).withColumn("near_prints", F.lit(None).cast("long")).unionByName(found)
+
+
+#: Bytes of texts for each range of ids.
+RANGE_BYTES = 64 << 20
+_RESULT = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _results(ids: list, texts: list[str], following: list[str], prints: np.ndarray, next_prints: np.ndarray) -> dict:
+    edits = [t[: len(t) - len(t) // 4] + f[: len(t) // 4] for t, f in zip(texts, following, strict=True)]
+    theirs = fingerprints(edits)
+    return {
+        "id": ids,
+        "n_chars": [len(t) for t in texts],
+        "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edits],
+        "fingerprint": [p.tobytes().hex() for p in prints],
+        "edited_fingerprint": [p.tobytes().hex() for p in theirs],
+        "near_edited": likeness(prints, theirs),
+        "near_next": likeness(prints, next_prints),
+    }
+
+
+def _text_runs(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    s = 0
+    while s < len(texts):
+        e, size = s, 0
+        while e < len(texts) and (e == s or size + len(texts[e]) <= limit):
+            size += len(texts[e])
+            e += 1
+        yield s, e
+        s = e
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,65 +147,55 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty. Null ids come first in the order; rows with one id are ordered by the text's hash. A single row follows
     itself. Other columns aren't read; an empty table gives an empty result.
 
-    The rows are dealt to ranges of ids; the first row of a range is also sent to the range before it, so that every row
-    meets its follower in one sorted task, and each text is shuffled once.
+    The rows are sorted by ranges of ids, each text shuffled once. Every row but the last of a range meets its follower in
+    the range's task; a range's first and last texts are handed on, and last ones are joined with the next range's first.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = pick(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    edges = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<long>")
-    place = F.size(F.filter(edges, lambda e: e <= F.col("key"))).cast("int")
-    firsts = {r[0]: r[1] for r in rows.select(place.alias("place"), "key").groupBy("place").agg(F.min("key")).collect()}  # one row a range
-    if not firsts:
-        return spark.createDataFrame([], "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
-    order = sorted(firsts)
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
-    also = F.element_at(F.create_map(*[x for k, p in before.items() for x in (F.lit(k), F.lit(p))]), F.col("key"))
-    own = F.struct(place.alias("place"), F.lit(0).alias("extra"))
-    copies = F.when(also.isNull(), F.array(own)).otherwise(F.array(own, F.struct(also.alias("place"), F.lit(1).alias("extra"))))
-    dealt = rows.withColumn("to", F.explode(copies)).select("to.place", "to.extra", "key", F.xxhash64("text").alias("tie"), "id", "text")
-    schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-
-    def work(place: list, extra: list, ids: list, texts: list) -> pa.RecordBatch:
-        """Rows that have their follower right behind them."""
-        edits, at = [], []
-        for i in range(len(ids) - 1):
-            if not extra[i] and place[i] == place[i + 1]:
-                n = len(texts[i])
-                edits.append(texts[i][: n - n // 4] + texts[i + 1][: n // 4])
-                at.append(i)
-        mine, theirs = fingerprints(texts), fingerprints(edits)
-        at = np.array(at, np.int64)
-        return pa.RecordBatch.from_pydict(
-            {
-                "id": [ids[i] for i in at],
-                "n_chars": [len(texts[i]) for i in at],
-                "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edits],
-                "fingerprint": [mine[i].tobytes().hex() for i in at],
-                "edited_fingerprint": [p.tobytes().hex() for p in theirs],
-                "near_edited": likeness(mine[at], theirs),
-                "near_next": likeness(mine[at], mine[at + 1]) if len(at) else [],
-            },
-            schema,
-        )
+    rows = pick(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text_col).alias("tie"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()), *_RESULT.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def end(kind: int, i: int | None, text: str) -> pa.RecordBatch:
+            row = {"kind": kind, "part": part, "text": text, "id": i}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        held: tuple[list, list[str], np.ndarray] | None = None
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for s, e in _text_runs(texts):
+                prints = fingerprints(texts[s:e])
+                if held is None:
+                    yield end(1, ids[s], texts[s])
+                    some = ids[s:e], texts[s:e], prints
+                else:
+                    some = held[0] + ids[s:e], held[1] + texts[s:e], np.concatenate((held[2], prints))
+                cols = _results(some[0][:-1], some[1][:-1], some[1][1:], some[2][:-1], some[2][1:])
+                n = len(some[0]) - 1
+                yield pa.RecordBatch.from_pydict({"kind": [0] * n, "part": [part] * n, "text": [None] * n} | cols, schema)
+                held = some[0][-1:], some[1][-1:], some[2][-1:]
+        if held is not None:
+            yield end(2, held[0][0], held[1][0])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, extra, ids = (batch.column(c).to_pylist() for c in (0, 1, 2))
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            s = 0
-            while s < len(ids):
-                e, size = s, 0
-                while e < len(ids) and (e == s or size + len(texts[e]) <= 1 << 19):
-                    size += len(texts[e])
-                    e += 1
-                held = tuple(h + x[s:e] for h, x in zip(held, (place, extra, ids, texts), strict=True))
-                yield work(*held)
-                held = tuple(h[-1:] for h in held)
-                s = e
-
-    found = dealt.repartition(F.col("place")).sortWithinPartitions("place", "extra", "key", "tie").select("place", "extra", "id", "text")
-    return found.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+            ids, texts, following = (batch.column(c).to_pylist() for c in range(3))
+            for s, e in _text_runs(texts):
+                t, f = texts[s:e], following[s:e]
+                yield pa.RecordBatch.from_pydict(_results(ids[s:e], t, f, fingerprints(t), fingerprints(f)), pa.schema(_RESULT.items()))
+
+    dealt = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("id", "text")
+    made = materialize(dealt.mapInArrow(run, "kind int, part int, text string, " + _SCHEMA), "simhash-ranges")
+    firsts = made.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    order = Window.orderBy("part")  # one number a range
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = made.where("kind = 1").select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(every)).alias("next"))
+    ends = made.where("kind = 2").select("part", "id", "text").join(after, "part").join(firsts, "next").select("id", "text", "following")
+    inner = made.where("kind = 0").select(*_RESULT)
+    return inner.unionByName(ends.mapInArrow(last, _SCHEMA)).withColumnRenamed("id", id_col)

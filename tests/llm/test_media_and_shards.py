@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from plyforge.llm.mixing import MixParams, mix, mixed_order, numerators, schedule
 from plyforge.llm.ogg import BLOCK, RATE, OggError, Writer, demux, encode_media, media_round_trip, mux, padded, page_checksum, read_streams
-from plyforge.llm.sharding import balance, best_fit_decreasing, shard_documents
+from plyforge.llm.sharding import balance, best_fit_decreasing, pack_runs, shard_documents
 
 
 def test_checksum_is_the_plain_one():
@@ -91,7 +91,35 @@ def test_best_fit_decreasing():
         want[i] = b
     assert where == want
     assert best_fit_decreasing([9, 9], 10, 1) is None and best_fit_decreasing([], 5) == [] and best_fit_decreasing([50], 10) == [0]
-    assert np.bincount(balance(sizes, 7), sizes).max() - sum(sizes) / 7 <= 2
+
+
+def one_by_one(sizes, bins):
+    """Loads of the bins when every group is packed on its own, with the least capacity that fits."""
+    low = high = max(-(-sum(sizes) // bins), max(sizes))
+    while best_fit_decreasing(sizes, high, bins) is None:
+        high *= 2
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if best_fit_decreasing(sizes, mid, bins) is None else (low, mid)
+    return np.bincount(best_fit_decreasing(sizes, high, bins), sizes, bins).tolist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_of_sizes_are_packed_as_group_by_group(seed):
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(1, [5, 30, 400, 3000, 9, 100000][seed], int(rng.integers(1, 900))).tolist(), reverse=True)
+    runs = sorted({s: sizes.count(s) for s in sizes}.items(), reverse=True)
+    for capacity in (max(sizes), 2 * max(sizes), sum(sizes) // 5 + 9):
+        for bins in (3, 7, 10**6):
+            where, got = best_fit_decreasing(sizes, capacity, bins), pack_runs(runs, capacity, bins)
+            if where is None:
+                assert got is None
+            else:
+                assert [(s, b) for s, k, b in got for _ in range(k)] == list(zip(sizes, where, strict=True))
+    loads = np.zeros(7, int)
+    for s, k, b in balance(runs, 7):
+        loads[b] += s * k
+    assert loads.sum() == sum(sizes) and loads.max() - max(sum(sizes) / 7, max(sizes)) <= max(sizes)
 
 
 @pytest.mark.parametrize("shards", [1, 16])
@@ -107,7 +135,10 @@ def test_shards(spark, documents, shards):
     for s in range(shards):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     loads = np.bincount([r["shard"] for r in got], [r["size"] for r in got], shards)
-    assert loads.max() <= 1.02 * loads.mean()
+    groups: dict = {}
+    for raw in rows.values():
+        groups[raw] = groups.get(raw, 0) + len(raw) + 1
+    assert loads.tolist() == one_by_one(list(groups.values()), shards) and loads.max() <= 1.02 * loads.mean()
 
 
 def test_shards_of_odd_rows(odd, empty):

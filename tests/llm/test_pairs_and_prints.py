@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from plyforge.llm import minhash
+from plyforge.llm import minhash, queries, simhash
 from plyforge.llm.components import connected_components
 from plyforge.llm.minhash import NearDupParams, near_duplicates, shingle_sets
 from plyforge.llm.simhash import BITS, edited_pairs, fingerprint, fingerprints, within_radius
@@ -164,3 +164,53 @@ def test_within_radius_finds_all(spark):
 
 def test_fingerprint_rows(odd):
     assert fingerprint(odd).count() == odd.count()
+
+
+def test_op6_counts_prints_in_the_radius(spark, sf_dir, documents):
+    got = queries.op6_simhash(spark, sf_dir).collect()
+    assert len(got) == documents.count()
+    raw = {p: np.unpackbits(np.frombuffer(bytes.fromhex(p), np.uint8)) for p in {r["fingerprint"] for r in got}}
+    for r in got:
+        if r["doc_id"] % 50:
+            assert r["near_prints"] is None
+        else:
+            assert r["near_prints"] == sum(0 < int((raw[r["fingerprint"]] ^ x).sum()) <= 3 for x in raw.values())
+
+
+def test_edited_pairs_over_many_ranges(spark, documents, monkeypatch):
+    whole = {r["doc_id"]: r for r in edited_pairs(documents).collect()}
+    monkeypatch.setattr(simhash, "RANGE_BYTES", 5000)
+    assert {r["doc_id"]: r for r in edited_pairs(documents).collect()} == whole
+
+
+def test_texts_that_polynomials_confuse_are_not_linked(spark):
+    """A Thue-Morse word and its inverse had one hash modulo 2^64, whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"one {a} two {a}"), (2, f"one {b} two {b}"), (3, f"ONE {a} two {a}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in near_duplicates(df, NearDupParams(words=3, percent=85)).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 2, 1]
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint(df).collect()}
+    assert prints[1] == prints[3] != prints[2]
+
+
+def test_forest_of_many_sets_spans_the_likely_pairs():
+    rng = np.random.default_rng(4)
+    est = rng.random((90, 90))
+    est = np.maximum(est, est.T)
+    ok = est > 0.97
+    np.fill_diagonal(ok, False)
+    got = minhash._grown_forest(90, lambda v: (est[v], ok[v]))
+    i, j = np.triu_indices(90, 1)
+    want = minhash._forest(90, est[i, j], (i, j), ok[i, j])
+    assert len(got) == len(want) and abs(sum(est[a, b] for a, b in got) - est[i[want], j[want]].sum()) < 1e-9
+    assert components(range(90), got) == components(range(90), list(zip(i[want].tolist(), j[want].tolist(), strict=True)))
+
+
+def test_many_near_copies_of_one_page(spark):
+    """A family too large for one node, all of whose texts differ: one component, every link counted."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(700)], "doc_id long, text string")
+    p = NearDupParams(words=3, percent=85, node_limit=8, max_depth=2, block=100)
+    got = near_duplicates(docs, p).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 699)} and len(got) == 700
