@@ -20,8 +20,24 @@ from plyforge.sources import pgn
 ALIASES = {"open_db": "open", "close_db": "close", "cql_search": "search", "search_cql": "search", "explain_dsl": "explain", "opening_tree": "tree", "query": "query_games", "get": "get_game", "db_stats": "stats", "info": "stats", "popularity": "endgames", "ping": "version", "delete_game": "delete", "undelete_game": "undelete"}
 
 
-def rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    return [json.loads(r) for r in df.limit(limit).toJSON().collect()]
+class Rows(list):
+    """Rows of an answer; cut: whether there were more than the limit."""
+
+    cut = False
+
+
+def rows(df: DataFrame, limit: int = 1000) -> Rows:
+    """The first rows, up to limit: an answer is one line, so it's bounded, and says so when it is cut."""
+    found = df.limit(limit + 1).toJSON().collect()
+    out = Rows(json.loads(r) for r in found[:limit])
+    out.cut = len(found) > limit
+    return out
+
+
+def is_cut(answer: object) -> bool:
+    if isinstance(answer, dict):
+        return any(is_cut(x) for x in answer.values())
+    return isinstance(answer, Rows) and answer.cut
 
 
 class Server:
@@ -47,7 +63,8 @@ class Server:
         if f is None:
             return {"id": m.get("id"), "status": "error", "error": f"unknown command {name!r}"}
         try:
-            return {"id": m.get("id"), "status": "ok", "result": f(m.get("params") or {})}
+            answer = f(m.get("params") or {})
+            return {"id": m.get("id"), "status": "ok", "result": answer} | ({"truncated": True} if is_cut(answer) else {})
         except (ParseError, SemanticError, KeyError, ValueError, FileNotFoundError) as e:
             return {"id": m.get("id"), "status": "error", "error": f"{type(e).__name__}: {e}"}
 

@@ -12,6 +12,7 @@ from plyforge.lang.parser import parse
 from plyforge.lang.validate import validate
 from plyforge.operators import positions
 from plyforge.plans.compiler import search
+from plyforge.sources.tables import numbered
 
 SORTS = {"id": "game_id", "white": "white", "black": "black", "white_elo": "white_elo", "black_elo": "black_elo", "eco": "eco", "event": "event", "site": "site", "round": "round", "result": "result"}
 
@@ -109,14 +110,10 @@ def query_games(games: DataFrame, f: GameFilter, plies: DataFrame | None = None,
 
 
 def name_ranks(names: DataFrame, col: str) -> DataFrame:
-    """(name, rank) of each distinct name, in byte order from 0.
-
-    Ranges of names are numbered apart and joined by their counts, so no task orders all names.
+    """(name, rank) of each distinct name, in byte order from 0; no task orders all names.
     """
     distinct = names.select(F.col(col).alias("name")).where(F.col(col).isNotNull()).distinct()
-    parts = distinct.repartitionByRange("name").sortWithinPartitions("name").withColumn("pid", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    base = parts.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("base"))
-    return parts.join(F.broadcast(base), "pid").select("name", (F.col("base") + F.col("at")).alias("rank"))
+    return numbered(distinct, [F.col("name")], "rank")
 
 
 def stats(games: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.sources.tables import numbered
+
 
 def add(games: DataFrame, new: DataFrame) -> DataFrame:
     """Append games; their ids go on from the largest."""
@@ -25,14 +27,8 @@ def set_deleted(games: DataFrame, which: Column, deleted: bool = True) -> DataFr
 
 
 def renumber(games: DataFrame, *order: Column) -> DataFrame:
-    """Ids from 0 without gaps in the given order (by id if none).
-
-    A range shuffle sorts, ranges are numbered apart and joined by their counts: no task sees the whole table.
-    """
-    keys = list(order) or [F.col("game_id")]
-    rows = games.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    base = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_base"))
-    return rows.join(F.broadcast(base), "_pid").withColumn("game_id", F.col("_base") + F.col("_at")).select(games.columns)
+    """Ids from 0 without gaps in the given order (by id if none)."""
+    return numbered(games.withColumnRenamed("game_id", "_old"), [x for x in order] or [F.col("_old")], "game_id").select(games.columns)
 
 
 def compact(games: DataFrame) -> DataFrame:
@@ -41,16 +37,26 @@ def compact(games: DataFrame) -> DataFrame:
 
 
 def sort_database(games: DataFrame, *order: Column, purge: bool = False) -> DataFrame:
-    """Games in a new order with new ids; purge drops deleted ones."""
-    return renumber(games.where(~F.col("deleted")) if purge else games, *order, F.col("game_id"))
+    """Games in a new order with new ids; purge drops deleted ones. order names other columns than game_id, which settles ties."""
+    return renumber(games.where(~F.col("deleted")) if purge else games, *order, F.col("_old"))
 
 
 def save(games: DataFrame, path: str) -> None:
-    """Write beside, then rename into place."""
+    """Write beside, then rename into place: at every moment the old or the new table is whole, at path or beside it.
+
+    If the second rename fails, the old table goes back to its place.
+    """
     spark = games.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, old, here = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", ".old", ""))
+    fs = here.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(here):  # what an interrupted save left
+        fs.rename(old, here)
     games.write.mode("overwrite").parquet(path + ".new")
-    fs = old.getFileSystem(conf)
     fs.delete(old, True)
-    fs.rename(new, old)
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, here):
+        fs.rename(old, here)
+        raise OSError(f"{path}.new can't be moved")
+    fs.delete(old, True)

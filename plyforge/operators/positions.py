@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions import bitboards as B
@@ -46,8 +46,13 @@ def search_position(plies: DataFrame, fen: str, turn: str | None = None, mode: s
 
 
 def scan_position(plies: DataFrame, fen: str, sample: int | None = None) -> DataFrame:
-    """(game_id, plies): every hit of the whole position."""
-    out = plies.where(F.expr(position_predicate(fen))).groupBy("game_id").agg(F.sort_array(F.collect_list("ply")).alias("plies"))
+    """(game_id, plies): every hit of the whole position; sample: of that many games with the smallest ids."""
+    return all_hits(plies, F.expr(position_predicate(fen)), sample)
+
+
+def all_hits(plies: DataFrame, at: Column, sample: int | None = None) -> DataFrame:
+    """(game_id, plies): every row of a game where `at` holds."""
+    out = plies.where(at).groupBy("game_id").agg(F.sort_array(F.collect_list("ply")).alias("plies"))
     return out if sample is None else out.orderBy("game_id").limit(sample)
 
 
@@ -84,14 +89,17 @@ def search_material(plies: DataFrame, f: MaterialFilter) -> DataFrame:
     return last.where(F.expr(material_predicate(f))).select("game_id", "ply")
 
 
-def position_index(plies: DataFrame, max_ply: int = 24, min_games: int = 1, key: str = "pos_key", game: str = "game_id", ply: str = "ply") -> DataFrame:
-    """(key, games, n): postings of every position up to max_ply.
+def position_index(plies: DataFrame, max_ply: int = 24, min_games: int = 1, key: str = "pos_key", game: str = "game_id", ply: str = "ply", first: int = 5) -> DataFrame:
+    """(key, n, games): number of games of every position up to max_ply, and the smallest `first` of their ids.
 
-    Pairs are made distinct first, so a game that repeats a position is sent once.
+    All ids are the rows of posting_pairs: no position's games meet in one row or task. Pairs are made distinct first, and
+    the smallest ids are found before the shuffle (a window group limit).
     """
     pairs = plies.where(F.col(ply) <= max_ply).select(key, game).distinct()
-    out = pairs.groupBy(key).agg(F.sort_array(F.collect_list(game)).alias("games"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("n") >= min_games)
+    n = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_games)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(game))
+    few = pairs.withColumn("nth", nth).where(F.col("nth") <= first).groupBy(key).agg(F.sort_array(F.collect_list(game)).alias("games"))
+    return n.join(few, key)
 
 
 def posting_pairs(plies: DataFrame, max_ply: int = 24, key: str = "pos_key", game: str = "game_id", ply: str = "ply") -> DataFrame:

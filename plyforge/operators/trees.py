@@ -5,6 +5,7 @@ rows: one row a step with (game, ply, state, move that departs or null). outcome
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,22 +119,33 @@ def graph(steps: DataFrame, next_state: str = "next_key", names: Names = Names()
     return edges.agg(*outcome_columns(), F.min("ym").alias("first_ym"), F.max("ym").alias("last_ym")).where(F.col("games") >= min_games)
 
 
-def top_lines(edges: DataFrame, start: Column, depth: int, max_lines: int = 10, width: int = 64) -> DataFrame:
-    """Best lines through the graph from a state: a line's games are the least of its edges'.
-
-    A beam search of at most 20 rounds, one join a round: after each, the `width` most played lines go on, and those that
-    can't are kept. width bounds what a round holds, as the report's own length does.
-    """
-    e = edges.select(F.col("state").alias("s"), F.col("move").alias("m"), F.col("next").alias("t"), F.col("games").alias("g"))
-    live = e.where(start).select(F.array("m").alias("moves"), F.col("t").alias("at"), F.col("g").alias("games"))
-    order = [F.desc("games"), F.array_join("moves", " ")]
+def _lines(e: DataFrame, start: Column, depth: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(moves, games) of the lines from a state that end there or at depth; keep thins out the lines that go on."""
+    live = keep(e.where(start).select(F.array("m").alias("moves"), F.col("t").alias("at"), F.col("g").alias("games")))
     done = None
     for _ in range(min(depth, 20) - 1):
-        live = live.orderBy(*order).limit(width)
         grown = live.join(e, F.col("at") == F.col("s"), "left")
         ended = grown.where("s is null").select("moves", "games")
         done = ended if done is None else done.unionByName(ended)
-        live = grown.where("s is not null").select(F.concat("moves", F.array("m")).alias("moves"), F.col("t").alias("at"), F.least("games", "g").alias("games"))
+        live = keep(grown.where("s is not null").select(F.concat("moves", F.array("m")).alias("moves"), F.col("t").alias("at"), F.least("games", "g").alias("games")))
     last = live.select("moves", "games")
-    out = last if done is None else last.unionByName(done)
-    return out.orderBy(F.desc("games"), F.desc(F.size("moves")), F.array_join("moves", " ")).limit(max_lines)
+    return last if done is None else last.unionByName(done)
+
+
+def top_lines(edges: DataFrame, start: Column, depth: int, max_lines: int = 10, width: int = 64) -> DataFrame:
+    """Best lines through the graph from a state: a line's games are the least of its edges'.
+
+    A beam of `width` lines a round first finds max_lines lines; the games of the last of them are a bound that the best
+    lines reach. The lines are then grown anew without a beam, over all prefixes that reach the bound. Of prefixes that
+    lead to one state with equal games, whatever follows leaves the first max_lines in front, so these alone go on: the
+    result is exact, and a round holds max_lines rows at most for each state and number of games.
+    """
+    e = edges.select(F.col("state").alias("s"), F.col("move").alias("m"), F.col("next").alias("t"), F.col("games").alias("g"))
+    name = F.array_join("moves", " ")
+    best = [F.desc("games"), F.desc(F.size("moves")), name]
+    beam = _lines(e, start, depth, lambda x: x.orderBy(F.desc("games"), name).limit(max(width, max_lines)))
+    found = beam.orderBy(*best).limit(max_lines).agg(F.count(F.lit(1)), F.min("games")).first()
+    least = found[1] if found[0] == max_lines else 0
+    nth = F.row_number().over(Window.partitionBy("at", "games").orderBy(name))
+    out = _lines(e, start, depth, lambda x: x.where(F.col("games") >= least).withColumn("nth", nth).where(F.col("nth") <= max_lines).drop("nth"))
+    return out.orderBy(*best).limit(max_lines)

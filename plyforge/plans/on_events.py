@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plyforge.lang import ast as A
 from plyforge.operators import listing, positions, trees
 from plyforge.plans.compiler import hit_rows
+from plyforge.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,8 +117,11 @@ SELECT move, {_OUT}, CAST(sum(white_elo) FILTER (WHERE white_elo > 0 AND black_e
  string_agg(CASE WHEN i <= 3 THEN CAST(game_id AS VARCHAR) END, ',' ORDER BY game_id) AS sample_ids,
  round(count(*) FILTER (WHERE result = 1) * 100.0 / count(*), 2) AS white_pct, round(count(*) FILTER (WHERE result = 3) * 100.0 / count(*), 2) AS draw_pct, round(count(*) FILTER (WHERE result = 2) * 100.0 / count(*), 2) AS black_pct
 FROM h GROUP BY move"""
-QUERIES["a2_tree_of_candidates"] = lambda spark, sf: trees.opening_tree(steps(spark, sf).where("game_id % 2 = 0"), F.col("state") == "click", NAMES, samples=0, digits=6).select("move", "games", "first_ym", "last_ym", "white_pct")
-ORACLE["a2_tree_of_candidates"] = f"WITH {ST}, {_FIRST} SELECT move, count(*) AS games, min(ym) AS first_ym, max(ym) AS last_ym, round(count(*) FILTER (WHERE result = 1) * 100.0 / count(*), 6) AS white_pct FROM f WHERE move IS NOT NULL AND game_id % 2 = 0 GROUP BY move"
+QUERIES["a2_tree_of_candidates"] = lambda spark, sf: trees.opening_tree(steps(spark, sf).join(hit_rows(A.Occurs(">=", 12, None, is_("purchase")), timeline(spark, sf)).select("game_id").distinct(), "game_id", "left_semi"), F.col("state") == "click", NAMES, samples=0)
+_MEANS = """CAST(sum(white_elo) FILTER (WHERE white_elo > 0 AND black_elo > 0) AS BIGINT) // count(*) FILTER (WHERE white_elo > 0 AND black_elo > 0) AS avg_white_elo,
+ CAST(sum(black_elo) FILTER (WHERE white_elo > 0 AND black_elo > 0) AS BIGINT) // count(*) FILTER (WHERE white_elo > 0 AND black_elo > 0) AS avg_black_elo, min(ym) AS first_ym, max(ym) AS last_ym"""
+_PCT = ", ".join(f"round(count(*) FILTER (WHERE result = {r}) * 100.0 / count(*), 2) AS {c}_pct" for r, c in ((1, "white"), (3, "draw"), (2, "black")))
+ORACLE["a2_tree_of_candidates"] = f"WITH {ST}, {_FIRST} SELECT move, {_OUT}, {_MEANS}, {_PCT} FROM f WHERE move IS NOT NULL AND game_id IN (SELECT game_id FROM ev WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 12) GROUP BY move"
 QUERIES["a3_tree_index"] = lambda spark, sf: trees.tree_index(steps(spark, sf), NAMES, 24)
 ORACLE["a3_tree_index"] = f"WITH {ST} SELECT state, move, {_OUT} FROM st WHERE ply <= 24 GROUP BY state, move"
 QUERIES["a3_nested_tree"] = lambda spark, sf: trees.nested_tree(trees.tree_index(steps(spark, sf).where("move is not null"), NAMES, 24), NAMES).select("state", "total", F.expr("moves[0].games").alias("best"))
@@ -159,15 +163,15 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return timeline(spark, sf).select("game_id", "ply", F.concat(F.coalesce(F.lag("event_type").over(w), F.lit("-")), F.lit(">"), "event_type").alias("pos"))
 
 
-QUERIES["n3_postings"] = lambda spark, sf: positions.position_index(pairs(spark, sf), 24, 2, "pos").select("pos", "n", F.array_join(F.slice(F.col("games").cast("array<string>"), 1, 5), ",").alias("first_ids"))
+QUERIES["n3_postings"] = lambda spark, sf: positions.position_index(pairs(spark, sf), 24, 2, "pos").select("pos", "n", F.array_join(F.col("games").cast("array<string>"), ",").alias("first_ids"))
 ORACLE["n3_postings"] = f"WITH {_POS}, d AS (SELECT DISTINCT pos, game_id FROM ps WHERE ply <= 24), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY game_id) AS i FROM d) SELECT pos, count(*) AS n, string_agg(CASE WHEN i <= 5 THEN CAST(game_id AS VARCHAR) END, ',' ORDER BY game_id) AS first_ids FROM r GROUP BY pos HAVING count(*) >= 2"
-QUERIES["n4_posting_lookup"] = lambda spark, sf: positions.posting_pairs(pairs(spark, sf), 24, "pos").where("pos = 'view>purchase'")
+QUERIES["n4_posting_lookup"] = lambda spark, sf: stored(spark, "postings", sf, lambda: positions.posting_pairs(pairs(spark, sf), 24, "pos")).where("pos = 'view>purchase'")
 ORACLE["n4_posting_lookup"] = f"WITH {_POS} SELECT DISTINCT pos, game_id FROM ps WHERE ply <= 24 AND pos = 'view>purchase'"
 QUERIES["n5_index_diagnostics"] = lambda spark, sf: positions.index_diagnostics(positions.posting_pairs(pairs(spark, sf), 24, "pos"), "pos", "game_id")
 ORACLE["n5_index_diagnostics"] = f"WITH {_POS}, d AS (SELECT pos, count(DISTINCT game_id) AS n FROM ps WHERE ply <= 24 GROUP BY 1) SELECT CASE WHEN n <= 10 THEN '1-10' WHEN n <= 100 THEN '11-100' WHEN n <= 1000 THEN '101-1000' WHEN n <= 10000 THEN '1001-10000' WHEN n <= 100000 THEN '10001-100000' ELSE '100001+' END AS bucket, count(*) AS positions, CAST(sum(n) AS BIGINT) AS postings FROM d GROUP BY 1"
 QUERIES["n1_first_hit"] = lambda spark, sf: trees.first_hits(timeline(spark, sf).select("game_id", "ply", "event_type"), F.col("event_type") == "purchase", NAMES).select("game_id", "ply")
 ORACLE["n1_first_hit"] = f"WITH {EV} SELECT game_id, min(ply) AS ply FROM ev WHERE event_type = 'purchase' GROUP BY 1"
-QUERIES["n7_all_hits"] = lambda spark, sf: timeline(spark, sf).where("event_type = 'signup'").groupBy("game_id").agg(F.array_join(F.sort_array(F.collect_list("ply")).cast("array<string>"), ",").alias("plies"))
+QUERIES["n7_all_hits"] = lambda spark, sf: positions.all_hits(timeline(spark, sf), F.col("event_type") == "signup").select("game_id", F.array_join(F.col("plies").cast("array<string>"), ",").alias("plies"))
 ORACLE["n7_all_hits"] = f"WITH {EV} SELECT game_id, string_agg(CAST(ply AS VARCHAR), ',' ORDER BY ply) AS plies FROM ev WHERE event_type = 'signup' GROUP BY 1"
 QUERIES["a13_name_ranks"] = lambda spark, sf: listing.name_ranks(spark.read.parquet(f"{sf}/part.parquet"), "p_name")
 ORACLE["a13_name_ranks"] = "SELECT p_name AS name, row_number() OVER (ORDER BY p_name) - 1 AS rank FROM (SELECT DISTINCT p_name FROM part)"

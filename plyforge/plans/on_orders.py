@@ -218,7 +218,7 @@ def _popular(spark: SparkSession, sf: str) -> DataFrame:
     return endgames.popularity(endgames.endgame_index(boards(spark, sf)), g)
 
 
-QUERIES["a11_popularity"] = lambda spark, sf: _popular(spark, sf).where("id in ('R_R', 'Q_Q', 'OCB')").select("id", "games", "white_wins", "draws", "black_wins", F.round("percentage", 6).alias("percentage"))
+QUERIES["a11_popularity"] = lambda spark, sf: _popular(spark, sf).select("id", "games", "white_wins", "draws", "black_wins", F.round("percentage", 6).alias("percentage"))
 QUERIES["a11_categories"] = lambda spark, sf: endgames.category_popularity(_popular(spark, sf))
 QUERIES["a12_with_feature"] = lambda spark, sf: endgames.with_feature(endgames.endgame_index(boards(spark, sf)), "R_R")
 
@@ -235,8 +235,24 @@ def _either(a: str, b: str) -> str:
 _FEAT = f"""ft AS (SELECT game_id, game_id % 3 + 1 AS result, {_either('R', 'R')} AS r_r, {_either('Q', 'Q')} AS q_q,
  {_either('B', 'B')} AND ({_n('B', ' AND (f + r) % 2 = 1')} > 0) <> ({_n('b', ' AND (f + r) % 2 = 1')} > 0) AS ocb FROM ids i)"""
 ORACLE["a12_with_feature"] = f"WITH {_SETS}, {_FEAT} SELECT game_id FROM ft WHERE r_r"
-ORACLE["a11_popularity"] = f"WITH {_SETS}, {_FEAT} " + " UNION ALL ".join(
-    f"SELECT '{i}' AS id, count(*) FILTER (WHERE {c}) AS games, count(*) FILTER (WHERE {c} AND result = 1) AS white_wins, count(*) FILTER (WHERE {c} AND result = 3) AS draws, count(*) FILTER (WHERE {c} AND result = 2) AS black_wins, round(count(*) FILTER (WHERE {c}) * 100.0 / count(*), 6) AS percentage FROM ft"
-    for i, c in (("R_R", "r_r"), ("Q_Q", "q_q"), ("OCB", "ocb"))
-)
+_SIDES = ", ".join(f"count(*) FILTER (WHERE role = {_ROLES.index(c)} AND {'' if b else 'NOT '}black) AS {c}{b}" for b in (0, 1) for c in "pnbrq") + ", " + ", ".join(f"coalesce(bool_or((f + r) % 2 = 1) FILTER (WHERE role = 2 AND {'' if b else 'NOT '}black), false) AS light{b}" for b in (0, 1))
+
+
+def _feature(a: str, b: str, condition: str) -> str:
+    """SQL: either side has the pieces a, the other b, and the condition holds."""
+
+    def way(x: int, y: int) -> str:
+        c = [f"{k}{x} = {a.count(k.upper())}" for k in "qrbn"]
+        c += [f"q{y} = 0", f"r{y} = 0", f"b{y} + n{y} BETWEEN 1 AND 3"] if b == "*" else [f"{k}{y} = {b.count(k.upper())}" for k in "qrbn"]
+        c.append({"": "true", "same": "light0 = light1", "opposite": "light0 <> light1", "b_minors between 1 and 3": "true"}.get(condition, condition.replace("a_pawns", f"p{x}").replace("b_pawns", f"p{y}")))
+        return " AND ".join(c)
+
+    return f"(({way(0, 1)}) OR ({way(1, 0)}))"
+
+
+_ALL = f"""sd AS (SELECT game_id, {_SIDES} FROM pc GROUP BY 1), hits AS ({' UNION ALL '.join(f"SELECT game_id, CAST({bit} AS BIGINT) AS bit, '{cat}' AS category, {[c for c, _ in endgames.CATALOG].index(cat)} AS position FROM sd WHERE {_feature(a, b, c)}" for bit, cat, _, _, a, b, c in endgames.FEATURES)})"""
+ORACLE["a10_endgame_features"] = f"WITH {_SETS}, {_ALL} SELECT game_id, bit_or(CAST(1 AS BIGINT) << bit) AS features FROM hits GROUP BY 1"
+ORACLE["a11_popularity"] = f"""WITH {_SETS}, {_ALL} SELECT c.id, count(hits.bit) AS games, count(hits.bit) FILTER (WHERE hits.game_id % 3 = 0) AS white_wins, count(hits.bit) FILTER (WHERE hits.game_id % 3 = 2) AS draws, count(hits.bit) FILTER (WHERE hits.game_id % 3 = 1) AS black_wins,
+ round(count(hits.bit) * 100.0 / (SELECT count(*) FROM ids), 6) AS percentage FROM (VALUES {', '.join(f"('{i}', {bit})" for bit, _, i, *_ in endgames.FEATURES)}) c(id, bit) LEFT JOIN hits ON hits.bit = c.bit GROUP BY 1"""
+ORACLE["a11_categories"] = f"WITH {_SETS}, {_ALL} SELECT c.category, count(hits.bit) AS games, CAST(c.position AS INT) AS position FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {i})' for i, (c, _) in enumerate(endgames.CATALOG))}) c(category, position) LEFT JOIN hits ON hits.category = c.category GROUP BY 1, 3"
 ORACLE["h16_headers_then_boards"] = f"WITH {G}, {_SETS} SELECT game_id FROM ids i WHERE {_n('P')} >= 1 AND game_id IN (SELECT game_id FROM g WHERE result = 1 AND starts_with(eco, '1'))"

@@ -137,3 +137,69 @@ def test_sort_ties_and_unknown_parts(spark):
     assert [r["game_id"] for r in listing.sort_games(df, "date").collect()] == [1, 0, 2, 3]
     assert [r["game_id"] for r in listing.sort_games(df, "date", True).collect()] == [3, 2, 0, 1]
     assert [r["game_id"] for r in listing.sort_games(df, "nonsense").collect()] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_numbers_of_a_large_written_table(spark, tmp_path, reuse):
+    """Ids stay gapless where ranges are sampled, coalesced and read again: checked on what was written."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        n = 1_500_000
+        games = spark.range(n).select(F.col("id").alias("game_id"), F.expr("id % 3 = 0").alias("deleted"), F.md5(F.col("id").cast("string")).alias("white"), F.expr("repeat('x', cast(id % 7 as int))").alias("extra"))
+        kept = n - (n + 2) // 3
+        for name, out, want in (("compact", mutations.compact(games), kept), ("sort", mutations.sort_database(games, F.col("white"), purge=True), kept), ("ranks", listing.name_ranks(games, "white"), n)):
+            key = "rank" if name == "ranks" else "game_id"
+            out.write.parquet(str(tmp_path / name))
+            back = spark.read.parquet(str(tmp_path / name))
+            got = back.agg(F.count(F.lit(1)), F.countDistinct(key), F.min(key), F.max(key)).first()
+            assert tuple(got) == (want, want, 0, want - 1), name
+            order = back.orderBy(key).select(F.col("name" if name == "ranks" else "white").alias("v")).limit(20_000).collect()
+            assert name == "compact" or [r["v"] for r in order] == sorted(r["v"] for r in order)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_top_lines_hidden_behind_heavy_moves(spark):
+    """Seventy heavy moves that lead to next to nothing don't push the best line out of a narrow search."""
+    edges = [("S", f"h{i:02}", f"H{i}", 100) for i in range(70)] + [(f"H{i}", "x", f"X{i}", 1) for i in range(70)] + [("S", "good", "G", 50), ("G", "end", "E", 50)]
+    df = spark.createDataFrame(edges, "state string, move string, next string, games long")
+    got = [(r["games"], r["moves"]) for r in trees.top_lines(df, F.col("s") == "S", 2, 3, width=64).collect()]
+    assert got == [(50, ["good", "end"]), (1, ["h00", "x"]), (1, ["h01", "x"])]
+
+
+def test_top_lines_equal_all_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = {}
+    for layer in range(4):
+        for a in range(5):
+            for b in range(5):
+                if rng.random() < 0.6:
+                    edges[f"{layer}{a}", f"m{b}"] = (f"{layer + 1}{b}", rng.randint(1, 6))
+    df = spark.createDataFrame([(s, m, t, g) for (s, m), (t, g) in edges.items()], "state string, move string, next string, games long")
+
+    def lines(at, moves, games, depth):
+        out = [(m, t, g) for (s, m), (t, g) in edges.items() if s == at]
+        if moves and (not out or len(moves) == depth):
+            return [(-games, -len(moves), " ".join(moves))]
+        return [x for m, t, g in out for x in lines(t, [*moves, m], min(games, g), depth)]
+
+    for depth in (2, 4):
+        want = sorted(lines("00", [], 99, depth))[:8]
+        got = [(-r["games"], -len(r["moves"]), " ".join(r["moves"])) for r in trees.top_lines(df, F.col("s") == "00", depth, 8, width=3).collect()]
+        assert got == want
+
+
+def test_save_survives_an_interruption(spark, tmp_path):
+    path = str(tmp_path / "t")
+    mutations.save(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if the second rename had failed
+    mutations.save(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
+
+
+def test_rpc_says_what_it_cuts(spark):
+    from plyforge.api import rpc
+
+    assert rpc.is_cut({"a": rpc.rows(spark.range(5), 3)}) and not rpc.is_cut(rpc.rows(spark.range(3), 3))

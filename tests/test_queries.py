@@ -20,10 +20,10 @@ def sql(sf_dir):
 
 def canon(df: pd.DataFrame) -> list[tuple]:
     def one(x):
-        if x is None or x is pd.NaT or x != x:
-            return ""
         if isinstance(x, str):
             return x
+        if pd.isna(x):
+            return ""
         return repr(round(float(x), 6))
 
     return sorted(tuple(one(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
@@ -37,9 +37,8 @@ def test_equals_sql(spark, sf_dir, sql, name):
     assert canon(got) == canon(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
 def test_entry(spark):
