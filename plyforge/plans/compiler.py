@@ -418,6 +418,9 @@ class Compiler:
             return tuple(out)
 
         pattern = (q.kind, plain(q.steps), q.color, q.back, q.least, q.most, q.opts)
+        ways = sequences.ways(pattern)
+        if ways is not None:
+            return self.shifted(pattern, ways, preds, anchored)
         if len(preds) > sequences.WHITE_BIT:
             raise CompileError(f"a sequence of more than {sequences.WHITE_BIT} different steps")
         if pattern[2] in ("white", "black"):
@@ -439,6 +442,29 @@ class Compiler:
         self.df = self.df.join(per_game, F.col(self.game) == F.col(self.g), "left").drop(self.g)
         return f"coalesce(array_contains({name}, cast({self.ply} as bigint)), false)"
 
+    def shifted(self, pattern: tuple, ways: list, preds: list[str], anchored: bool) -> str:
+        """A bounded pattern over leads and lags of its predicates: one sorted window a timeline, none of it gathered."""
+        cols = [self.add(f"coalesce({p}, false)") for p in preds]
+        moved: dict[tuple[str, int], str] = {}
+
+        def at(col: str, offset: int) -> str:
+            if offset == 0:
+                return col
+            if (col, offset) not in moved:
+                moved[col, offset] = self.add(f"coalesce({'lead' if offset > 0 else 'lag'}({col}, {abs(offset)}) {self.over(True)}, false)")
+            return moved[col, offset]
+
+        side = {"white": "wtm and ", "black": "not wtm and "}.get(pattern[2], "")
+        cases = " ".join(f"when {side}{' and '.join(at(cols[p], o) for p, o in dict.fromkeys(need))} then cast(array({', '.join(map(str, hit))}) as array<int>)" for need, hit in ways)
+        found = self.add(f"case {cases} end")
+        if anchored:
+            return f"({found} is not null)"
+        if pattern[0] == "line":  # every start counts, and a fixed line has one way
+            start = self.add(f"({found} is not null)")
+            return "(" + " or ".join(at(start, -o) for o in ways[0][1]) + ")"
+        first = self.add(f"min(if({found} is null, null, named_struct('p', {self.ply}, 'o', {found}))) {self.over()}")
+        return f"coalesce(array_contains({first}.o, cast({self.ply} - {first}.p as int)), false)"
+
     # -- hypothetical moves and boards
 
     def play(self, q: A.Play) -> str:

@@ -13,6 +13,59 @@ from collections.abc import Iterator
 WHITE_BIT = 62
 
 
+#: Bounds of what is written out as shifted columns; beyond them the matcher below runs.
+MOST_WAYS, MOST_ROWS = 64, 64
+
+
+class _Open(Exception):
+    """The pattern has no short list of ways."""
+
+
+def ways(pattern: tuple) -> list[tuple[list[tuple[int, int]], list[int]]] | None:
+    """Every way through a bounded pattern, the preferred one first: (predicates and the offsets of their rows, offsets hit).
+
+    None if the pattern has groups, options, open repetitions or too many ways.
+    """
+    kind, steps, color, back, _, _, opts = pattern
+    stride = 2 if color and (kind == "path" or color == "single") else 1
+
+    def go(i: int, at: int) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+        if i == len(steps):
+            yield [], []
+            return
+        step, pred, lo, hi = steps[i]
+        if hi is None or step == "group" or (step == "gap" and not any(s[0] != "gap" and s[2] for s in steps[i + 1 :])):
+            raise _Open
+        if kind == "line" or step == "filter":
+            if step != "filter" or (lo, hi) != (1, 1) or kind == "path":
+                raise _Open
+            after = at + (-stride if back else stride) if kind == "line" else at
+            counts = [(1, after, [(pred, at)], [at] if kind == "line" else [])]
+        elif back:
+            raise _Open
+        elif step == "gap":
+            counts = [(n, at + n * (stride if kind == "path" else 1), [], []) for n in (range(lo, hi + 1) if kind == "path" else range(hi, lo - 1, -1))]
+        else:
+            counts = [(n, at + n * stride, [(pred, at + j * stride) for j in range(n)], [at + j * stride + 1 for j in range(n)]) for n in range(hi, lo - 1, -1)]
+        for _, after, need, hit in counts:
+            if abs(after) > MOST_ROWS:
+                raise _Open
+            for more, rest in go(i + 1, after):
+                yield need + more, hit + rest
+
+    if opts or not steps:
+        return None
+    out = []
+    try:
+        for need, hit in go(0, 0):
+            if len(out) == MOST_WAYS or not need:
+                return None
+            out.append((need, sorted(set(hit)) or ([] if kind == "path" else [0])))
+    except _Open:
+        return None
+    return out
+
+
 class Matcher:
     def __init__(self, pattern: tuple, rows: list[int]):
         self.kind, self.steps, self.color, self.back, self.least, self.most, self.opts = pattern

@@ -20,7 +20,7 @@ def test_cli(spark, tmp_path, capsys):
     for args in (["import", path, out], ["info", out], ["search", out, "mate", "--limit", "3"], ["tree", out], ["continuations", out, "--depth", "2"], ["endgames", out], ["get", out, "2"], ["list", out, "--sort", "white", "--size", "2"], ["search-pos", out, "8/8/8/8/4P3/8/8/8", "--mode", "partial"], ["search-mat", out, "Q=0"], ["check", path, "--view", out], ["explain", "flipcolor { Qc3 }"], ["sort-pgn", out, str(tmp_path / "s")], ["sort-db", out, str(tmp_path / "d"), "--sort", "white"], ["compact", out, str(tmp_path / "c")], ["build", out, str(tmp_path / "v"), "tree", "pos-idx", "endgames"], ["create", str(tmp_path / "new")]):
         assert cli.run(cli.parser().parse_args(args), spark) == 0
     text = capsys.readouterr().out
-    assert '"total":5' in text and "Qh4#" in text and "valid" in text and "Color Inverted" in text
+    assert '"total":5' in text and "Qh4#" in text and "valid" in text and "Colors swapped" in text
 
 
 def test_repl(spark, tmp_path, capsys):

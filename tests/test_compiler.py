@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from plyforge.lang.parser import parse
+from plyforge.plans import on_events, sequences
 from plyforge.plans.compiler import CompileError, search
 from plyforge.plans.on_games import tables
 
@@ -54,3 +57,47 @@ def test_unbound_variable(data):
 
 def test_empty_query_matches_all(data):
     assert search(parse(""), data[1], data[0]).count() == 5
+
+
+def by_ways(pattern, rows):
+    """Starts and hits of a bounded pattern from its list of ways."""
+    kind, _, color, *_ = pattern
+    found = sequences.ways(pattern)
+    starts, hits = [], set()
+    for p in range(len(rows)):
+        if color in ("white", "black") and (rows[p] >> sequences.WHITE_BIT & 1) != (color == "white"):
+            continue
+        hit = next((h for need, h in found if all(0 <= p + o < len(rows) and rows[p + o] >> b & 1 for b, o in need)), None)
+        if hit is not None:
+            if kind == "line" or not starts:
+                hits |= {p + o for o in hit}
+            starts.append(p)
+    return starts, sorted(hits)
+
+
+@pytest.mark.parametrize("kind", ["path", "cqlpath", "line"])
+def test_bounded_sequences_equal_the_matcher(kind):
+    rng, native = random.Random(kind), 0
+    for _ in range(3000):
+        steps = []
+        for _ in range(rng.randint(1, 4)):
+            what = rng.choice(["filter"] if kind == "line" else ["move", "move", "gap"] + ["filter"] * (kind == "cqlpath"))
+            lo = rng.randint(0, 2)
+            steps.append((what, rng.randrange(3), *((1, 1) if what == "filter" else (lo, lo + rng.randint(0, 2)))))
+        color = rng.choice([None, None, "single", "white", "black"])
+        pattern = (kind, tuple(steps), color, kind == "line" and rng.random() < 0.4, None, None, ())
+        if sequences.ways(pattern) is None:
+            continue
+        native += 1
+        rows = [rng.randrange(8) | (i % 2 == 0) << sequences.WHITE_BIT for i in range(rng.randint(1, 14))]
+        rows[-1] &= ~7 if kind != "line" and not any(s[0] == "filter" for s in steps) else -1  # no move departs from the last row
+        if any(s[0] == "filter" for s in steps) and any(s[0] == "move" for s in steps):
+            continue  # in the compiled query a move's bit is clear in the last row, a filter's may be set
+        assert by_ways(pattern, rows) == sequences.match(pattern, rows), pattern
+    assert native > 300
+
+
+@pytest.mark.parametrize("name", ["e1_path", "e2_gap", "e3_repetition", "e4_one_side", "e5_filtered_path", "e6_line", "e6_line_back"])
+def test_bounded_sequences_need_no_python(spark, sf_dir, name):
+    plan = on_events.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "collect_list" not in plan
