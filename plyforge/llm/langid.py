@@ -61,7 +61,7 @@ def _counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield used.astype("<u2"), c[used].astype("<u4")
 
 
-def fit(docs: DataFrame, train: Column, sample: int = 1600, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def fit(docs: DataFrame, train: Column, sample: int = 2400, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from about `sample` rows where train holds and the language isn't null, equally many of each language.
 
     The rows are drawn by a hash of the id; their n-gram counts are taken on the executors over whole texts.
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 1600, seed: int = 5, id_co
     return train_bits(x, y, langs, code, rng)
 
 
-def train_bits(x: np.ndarray, y: np.ndarray, langs: list[str], code: np.ndarray, rng: np.random.Generator, steps: int = 80) -> LangModel:
+def train_bits(x: np.ndarray, y: np.ndarray, langs: list[str], code: np.ndarray, rng: np.random.Generator, steps: int = 150) -> LangModel:
     """One logistic classifier a bit by full-batch Adam on standardised shares; the temper is set on every fifth row."""
     hold = rng.random(len(y)) < 0.2 if len(y) > 50 else np.zeros(len(y), bool)
     scale = 1 / (x[~hold].std(0) + 2e-4)
@@ -130,7 +130,8 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     """(id, lang_pred, score, ambiguous) for every whole text.
 
     A text that is null, empty or without a letter is `und`, score 0, not ambiguous; so is every text if no language was
-    learned. Repeated rows come back as often as they came; other columns aren't read.
+    learned. Ties in the losses go to the first language by name. Null ids come back null. Repeated rows come back as often
+    as they came; other columns aren't read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     langs = np.array([*model.langs, UND], object)

@@ -69,23 +69,34 @@ def _order_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def ranked(docs: DataFrame, params: MixParams, id_col: str, source_col: str) -> DataFrame:
-    """(row, source, id, rank): rank of each row in its source, in the order of a keyed hash of the id.
+def _source_key(source: Column) -> Column:
+    """A source's name as a key that null has too."""
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
+
+
+def ranked(docs: DataFrame, params: MixParams, id_col: str, source_col: str, names: list[str], listed: int) -> DataFrame:
+    """(row, source, rank, tail): rank of each row in its source, in the order of a keyed hash of the id; tail: where the
+    rows of a source that names lacks begin, behind the `listed` rows of the others, null first and then by name.
 
     The hash's first digits deal every source, however large, to many parts; parts are numbered apart and joined by
-    their counts, one row a source and part.
+    their counts, one row a source and part, on the keys by which the rows are dealt already.
     """
     spark = docs.sparkSession
     parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").alias("id"))
+    source = F.col(f"`{source_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), _source_key(source).alias("skey"), F.col(f"`{id_col}`").alias("id"))
     rows = rows.withColumn("key", _order_key(F.col("id"), params.seed))
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
     rows = rows.withColumn("part", part)
-    counts = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("key", "id")) - 1
-    joined = rows.withColumn("rank", rank).join(F.broadcast(base) if parts <= 4096 else base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return joined.select("row", "source", "id", (F.col("rank") + F.col("base")).alias("rank"))
+    counts = rows.groupBy("skey", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("skey").orderBy("part")
+    base = counts.select("skey", "part", (F.sum("n").over(own) - F.col("n")).alias("base"))
+    # one row a source
+    others = counts.where(~F.col("skey").isin([f"={x}" for x in names])).groupBy("skey").agg(F.sum("n").alias("n"))
+    tails = others.select("skey", (F.sum("n").over(Window.orderBy("skey")) - F.col("n") + listed).alias("tail"))
+    base = base.join(tails, "skey", "left")
+    rank = F.row_number().over(Window.partitionBy("skey", "part").orderBy("key", "id")) - 1
+    return rows.withColumn("rank", rank).join(base, ["skey", "part"]).select("row", "source", (F.col("rank") + F.col("base")).alias("rank"), "tail")
 
 
 def mix(docs: DataFrame, params: MixParams, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -105,7 +116,8 @@ def mix(docs: DataFrame, params: MixParams, id_col: str = "doc_id", source_col:
     for x in plan:
         sent.append([have[s] for s in names])
         have[x] += 1
-    count = {r[0]: r[1] for r in docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("s")).count().collect()}  # one row a source
+    source = F.col(f"`{source_col}`").cast("string")
+    count = {r[0]: r[1] for r in docs.where(source.isin(names)).groupBy(source.alias("s")).count().collect()}  # at most `period` rows
     size = [count.get(s, 0) for s in names]
     period, block = params.period, params.block
 
@@ -118,24 +130,14 @@ def mix(docs: DataFrame, params: MixParams, id_col: str = "doc_id", source_col:
     slots = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"s": s, "i": names.index(s), "p": p[s], "at": at[s]} for s in names])), "array<struct<s:string,i:int,p:bigint,at:array<bigint>>>")).alias("x")).select("x.*")
     before = F.from_json(F.lit(json.dumps(sent)), "array<array<bigint>>")
     ahead = spark.range(1).select(F.posexplode(before).alias("t", "sent"))
-    rows = ranked(docs, params, id_col, source_col)
+    rows = ranked(docs, params, id_col, source_col, names, sum(size))
     rows = rows.join(F.broadcast(slots), F.col("source") == F.col("s"), "left")
     rows = rows.withColumn("slot", F.expr(f"(rank div {block}) div p * {period} + element_at(at, cast((rank div {block}) % p as int) + 1)")).withColumn("offset", F.when(F.col("p").isNotNull(), F.col("rank") % block))
     rows = rows.drop("at").withColumn("t", (F.col("slot") % period).cast("int")).join(F.broadcast(ahead.withColumnRenamed("t", "t2")), F.col("t") == F.col("t2"), "left")
     sizes = "array(" + ",".join(f"{n}L" for n in size) + ")"
     shares = "array(" + ",".join(f"{p[s]}L" for s in names) + ")"
     earlier = f"aggregate(sequence(0, {len(names) - 1}), 0L, (acc, k) -> acc + least({sizes}[k], ((slot div {period}) * {shares}[k] + sent[k]) * {block}))"
-    rest = sum(size)
-    tail_counts = {s: n for s, n in count.items() if s not in p}
-    start, acc = {}, rest
-    for s in sorted(tail_counts, key=lambda x: (x is not None, x or "")):
-        start[s] = acc
-        acc += tail_counts[s]
-    named = [x for s, a in start.items() if s is not None for x in (F.lit(s), F.lit(a))]
-    tail = F.element_at(F.create_map(*named), F.col("source")) if named else F.lit(None).cast("long")
-    if None in start:
-        tail = F.coalesce(tail, F.lit(start[None]))
-    position = F.when(F.col("slot").isNotNull(), F.expr(earlier) + F.col("offset")).otherwise(tail + F.col("rank"))
+    position = F.when(F.col("slot").isNotNull(), F.expr(earlier) + F.col("offset")).otherwise(F.col("tail") + F.col("rank"))
     return rows.select("row", "slot", "offset", position.cast("long").alias("position"), F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
 
 

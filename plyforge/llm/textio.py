@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,41 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+from plyforge.sources.tables import discard, materialize, shared_dir
 
+__all__ = ["CHUNK_BYTES", "chunks", "discard", "documents", "materialize", "pick", "shared_dir", "small_batches", "string_buffers"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this machine only where that is unset and all runs on it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            found = own.get()
-        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = "file://" + tempfile.mkdtemp(prefix="plyforge-")
-            spark.sparkContext.setCheckpointDir(found)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._plyforge_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by materialize() that no later plan reads."""
-    path = getattr(df, "_plyforge_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+CHUNK_BYTES = 1 << 20
 
 
 BATCH_BYTES = 8 << 20

@@ -51,7 +51,8 @@ def _bags(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1500, negatives: int = 3000, least: float = 6.0, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learn from at most about positives + negatives labelled rows where train (over id_col) holds, drawn by a hash of the id.
 
-    A document with several labels counts as toxic if any of them says so. The drawn ids (bounded by the two parameters)
+    A document with several labels counts as toxic if any of them says so. Where either class has no labelled document,
+    all texts get the share of toxic labels as their score. The drawn ids (bounded by the two parameters)
     are broadcast, and n-gram counts are taken on the executors over whole texts.
     """
     small_batches(docs.sparkSession)
@@ -59,9 +60,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1500
     count = {0: 0, 1: 0}
     for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect():
         count[r[0]] = r[1]
+    p = (count[1] + 0.5) / (count[0] + count[1] + 1)
+    alike = ToxicModel(np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 2)), np.zeros(2), 1.0, float(np.log(p / (1 - p))))
     if not count[0] or not count[1]:
-        p = (count[1] + 0.5) / (count[0] + count[1] + 1)
-        return ToxicModel(np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 2)), np.zeros(2), 1.0, float(np.log(p / (1 - p))))
+        return alike
     want = F.when(F.col("y") > 0, F.lit(min(1.0, positives / count[1]))).otherwise(F.lit(min(1.0, negatives / count[0])))
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < want * (1 << 30))
     rows = pick(docs, id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, (F.col("y") > 0).cast("int").alias("y"))
@@ -69,6 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = 1500
     got = _bags_of(rows, used).collect()
     bags = [(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["share"], "<f4")) for r in got]
     y = np.array([r["y"] for r in got], np.int64)
+    if len(set(y.tolist())) < 2:
+        return alike
     return train_bags(bags, y, used, count[1] / (count[0] + count[1]), np.random.default_rng(seed))
 
 
@@ -221,7 +225,8 @@ def _scorer(model: ToxicModel):
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) for every whole text: the chance of label 1, and 1 where it reaches the threshold.
 
-    Null, empty and wordless texts get the score of an empty bag. Repeated rows come back as often as they came; other
+    Null, empty and wordless texts get the score of an empty bag. A score equal to the threshold counts as toxic. Null ids
+    come back null. Repeated rows come back as often as they came; other
     columns aren't read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -236,7 +241,10 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, id_col: st
 
 
 def accepted(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose score stays below the threshold; rows without text stay."""
+    """The rows of docs, with all columns, whose score stays below the threshold.
+
+    Rows whose text is null or empty stay. Repeated rows, having one score, stay or go together; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     scores, at = _scorer(model), docs.columns.index(text_col)
 

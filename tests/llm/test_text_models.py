@@ -1,4 +1,7 @@
 import datetime as dt
+import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -229,3 +232,209 @@ def test_stages_keep_the_columns_and_odd_rows(spark, sf_dir, odd, stage):
     assert out.columns == docs.columns
     ids = {r["doc_id"] for r in out.collect()}
     assert None in ids and ids == ({None, 1, 2, 3, 4, 5, 6, 8, 10} if stage == 1 else {r["doc_id"] for r in docs.collect()})
+
+
+# plain-Python twins of the models and permutations
+
+
+def plain_feistel(left, right, a, b, kind, key):
+    def f(half, i):
+        return int(hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()[:15], 16)
+
+    for i in range(10):
+        if i % 2 == 0:
+            left = (left + f(right, i) % a) % a
+        else:
+            right = (right + f(left, i) % b) % b
+    return left, right
+
+
+def plain_digits(d, kind, key):
+    k = len(d) // 2
+    left, right = plain_feistel(int("0" + d[:k]), int("0" + d[k:]), 10**k, 10 ** (len(d) - k), kind, key)
+    return (str(left).zfill(k) if k else "") + str(right).zfill(len(d) - k)
+
+
+def plain_pseudonym(kind, m, key):
+    digits = re.sub("[^0-9]", "", m)
+
+    def into(new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in m)
+
+    if kind == "card":
+        made = digits[0] + plain_digits(digits[1:-1], "card", key)
+        return into(made + next(c for c in "0123456789" if luhn(made + c)))
+    if kind == "ssn":
+        a, g, s = map(int, m.split("-"))
+        left, right = plain_feistel((a - (2 if a > 666 else 1)) * 99 + g - 1, s - 1, 88902, 9999, "ssn", key)
+        area = left // 99
+        return f"{area + (2 if area >= 665 else 1):03}-{left % 99 + 1:02}-{right + 1:04}"
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        left, right = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", key)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "date":
+        n = (dt.date.fromisoformat(m) - dt.date(1800, 1, 1)).days
+        left, right = plain_feistel(n // 773, n % 773, 189, 773, "date", key)
+        return (dt.date(1800, 1, 1) + dt.timedelta(left * 773 + right)).isoformat()
+    if kind == "phone":
+        return into(digits[:-10] + plain_digits(digits[-10:], "phone", key))
+    if kind == "iban":
+        it = iter(plain_digits(re.sub("[^0-9]", "", m[4:]), "iban", key))
+        account = "".join(next(it) if c.isdigit() else c for c in m[4:])
+        return m[:2] + next(f"{c:02}" for c in range(2, 99) if iban(m[:2] + f"{c:02}" + account)) + account
+    if kind == "email":
+        return "u" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:16] + "@mail.invalid"
+    seed = hashlib.sha256(f"{key}|secret|{m}".encode()).hexdigest()
+    made = "".join(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest() for i in range(len(m) // 64 + 1))[: len(m)]
+    return made.upper() if m == m.upper() else made
+
+
+def test_pii_equals_plain_python(spark):
+    rng = random.Random(11)
+    cases = []
+    for _ in range(60):
+        body = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        cases.append(("card", "{}", body + next(c for c in "0123456789" if luhn(body + c))))
+        cases.append(("ssn", "{}", f"{rng.choice([rng.randint(1, 665), rng.randint(667, 899)]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"))
+        cases.append(("ip", "{}", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        cases.append(("date", "{}", (dt.date(1800, 1, 1) + dt.timedelta(rng.randrange(146097))).isoformat()))
+        cases.append(("phone", "{}", f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04}"))
+        account = "".join(rng.choice("0123456789") for _ in range(18))
+        cases.append(("iban", "{}", next(f"DE{c:02}{account}" for c in range(2, 99) if iban(f"DE{c:02}{account}"))))
+        cases.append(("email", "{}", f"{rng.choice(['ann', 'Bob.x', 'q_7'])}@{rng.choice(['a.example.org', 'B-c.net'])}"))
+        cases.append(("secret", "token = {}", "".join(rng.choice("abcdef0123") for _ in range(rng.choice([16, 40, 200, 1000])))))
+    df = spark.createDataFrame([(i, "see " + form.format(m) + " there") for i, (_, form, m) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pseudonymize(df, PiiParams("key'1")).collect()}
+    for i, (kind, form, m) in enumerate(cases):
+        assert got[i] == "see " + form.format(plain_pseudonym(kind, m, "key'1")) + " there", (kind, m)
+
+
+def test_pii_of_long_texts(spark, long, long_texts):
+    got = {r["doc_id"]: r["text"] for r in pseudonymize(long, PiiParams("k")).collect()}
+    assert all(len(got[i]) == len(t) for i, t in enumerate(long_texts))
+    assert [got[i] == t for i, t in enumerate(long_texts)] == [True] * len(long_texts)
+
+
+def plain_buckets(text, sizes, bits, inside_words, digits):
+    """Buckets of the n-grams of a text, one by one."""
+    raw = bytearray(text.encode())
+    for i, b in enumerate(raw):
+        if 65 <= b <= 90:
+            raw[i] = b + 32
+        elif b < 128 and not (97 <= b <= 122 or (digits and 48 <= b <= 57)):
+            raw[i] = 32
+        elif b >= 128 and i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E:
+            raw[i] = b + 32
+    buf = b" " + bytes(raw) + b" "
+    mask, out = (1 << 64) - 1, []
+    for size in sizes:
+        for i in range(len(buf) - size + 1):
+            g = buf[i : i + size]
+            if inside_words and (32 in g[1:-1] or (g[0] == 32 and g[1] == 32)):
+                continue
+            h = g[0]
+            for b in g[1:]:
+                h = (h * 0x100000001B3 + b + 1) & mask
+            out.append(((h * 0x9E3779B97F4A7C15) & mask) >> (64 - bits))
+    return out
+
+
+def test_language_equals_plain_python(documents):
+    model = langid.fit(documents, F.lit(True), sample=120)
+    texts = {r["doc_id"]: r["text"] for r in documents.where("doc_id % 7 = 0 and length(text) < 3000").collect()}
+    for r in langid.predict(documents.where("doc_id % 7 = 0 and length(text) < 3000"), model).collect():
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        # n-grams may end with the space behind the text, which begins the next one's
+        grams = plain_buckets(text, langid.SIZES, langid.BITS, False, False)
+        margins = [sum(float(model.weights[g, k]) for g in grams) / len(grams) + model.bias[k] for k in range(model.code.shape[1])]
+        loss = [model.temper * sum(math.log1p(math.exp(-z * c)) for z, c in zip(margins, code, strict=True)) / len(code) for code in model.code]
+        share = [math.exp(-4 * (x - min(loss))) for x in loss]
+        best = loss.index(min(loss))
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - share[best] / sum(share)) < 2e-3
+        two = sorted(loss)[:2]
+        assert r["ambiguous"] == (two[1] - two[0] < model.gap * model.temper) or abs(two[1] - two[0] - model.gap * model.temper) < 1e-3
+
+
+def test_toxicity_equals_plain_python(spark, documents, sf_dir):
+    model = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    probe = documents.where("length(text) < 3000").limit(60).unionByName(spark.createDataFrame([(-1, "", None, None, 0), (-2, None, None, None, 0), (-3, "! 7 É", None, None, 5)], documents.schema))
+    texts = {r["doc_id"]: r["text"] or "" for r in probe.collect()}
+    w = model.softmax[:, 1] - model.softmax[:, 0]
+    for r in toxicity.score(probe, model).collect():
+        grams = plain_buckets(texts[r["doc_id"]], toxicity.SIZES, toxicity.BITS, True, True)
+        mean = sum((model.vectors[g] for g in grams), np.zeros(model.vectors.shape[1])) / (len(grams) + toxicity.PAD)
+        z = model.slope * (float(mean @ w) + float(model.bias[1] - model.bias[0])) + model.shift
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-5 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_joint_training_equals_plain_steps():
+    """One batch of the joint training against the gradients written out text by text."""
+    rng = np.random.default_rng(1)
+    bags = [(np.sort(rng.choice(6, 3, False)), rng.random(3).astype(np.float32)) for _ in range(12)]
+    y = np.array([0, 1] * 6)
+    used = np.arange(6)
+    model = toxicity.train_bags(bags, y, used, 0.5, np.random.default_rng(3), dim=2, epochs=1, batch=64)
+    same = np.random.default_rng(3)
+    v, w = same.normal(0, 0.01, (6, 2)).astype(np.float32).astype(float), same.normal(0, 0.5, (2, 2)).astype(np.float32).astype(float)
+    hold = same.random(12) < 0.2
+    train = [i for i in range(12) if not hold[i]]
+    n = {c: sum(y[i] == c for i in train) for c in (0, 1)}
+    gv, gw = np.zeros_like(v), np.zeros_like(w)
+    for i in train:
+        mean = 100 * sum(s * v[a] for a, s in zip(*bags[i], strict=True))
+        z = mean @ w
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p[y[i]] -= 1
+        p *= 0.5 / n[y[i]]
+        gw += np.outer(mean, p)
+        for a, s in zip(*bags[i], strict=True):
+            gv[a] += 100 * s * (w @ p)
+    v = (v - 0.09 * gv / np.sqrt(1e-12 + (gv * gv).mean(1))[:, None]) * 100
+    w = w - 0.09 * gw / np.sqrt(1e-8 + gw * gw)
+    assert np.allclose(model.vectors[used], v, rtol=1e-3, atol=1e-3) and np.allclose(model.softmax, w, rtol=1e-3, atol=1e-3)
+
+
+def test_pipeline_equals_its_operators_in_plain_python(spark, sf_dir, documents, monkeypatch):
+    """run() on 200 documents: which stay, by the model and brute-force links, in what order, with which ids."""
+    from tokenizers import Tokenizer
+
+    some = documents.where("doc_id % 5 = 0").persist()
+    monkeypatch.setattr(corpus_pipeline, "documents", lambda *_: some)
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    model = toxicity.fit(some, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.id_rest(4) != 2)
+    bad = {r["doc_id"] for r in toxicity.score(some, model).collect() if r["predicted"]}
+    kept = {r["doc_id"]: r for r in some.collect() if r["doc_id"] not in bad or not r["text"]}
+    sets = {}
+    for i, r in kept.items():
+        words = (r["text"] or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    root = {i: i for i in kept}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in kept:
+        for j in kept:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in kept if find(i) == i}
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+    assert [r["position"] for r in got] == list(range(len(want)))
+    texts = {r["doc_id"]: r["text"] for r in pseudonymize(some.select("doc_id", "text"), queries.PII).collect()}
+    t = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    assert all(list(r["ids"]) == t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids for r in got)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_of_empty_tables_and_long_texts(spark, sf_dir, documents, long, stage):
+    name, f = corpus_pipeline.STAGES[stage]
+    assert f(spark, documents.limit(0), sf_dir).count() == 0
+    assert f(spark, long, sf_dir).count() == long.count()
