@@ -22,7 +22,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels outside the held-out fold, doesn't reject at 0.3."""
+    """Documents that the classifier, trained on the labels outside the held-out fold, doesn't reject at 0.3.
+
+    Rows whose text is null or empty stay, as do rows without an id; repeated rows stay or go together. An empty table stays
+    empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_rest(4) != 2)
     return toxicity.accepted(docs, model)
 
@@ -30,31 +34,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8: the one with the smallest id.
 
-    Repeated rows of an id leave one row; rows without an id can't be told apart as documents and stay.
+    Repeated rows of an id leave one row, the one with the least hash of all its columns; rows without an id can't be told
+    apart as documents and stay. Null and empty texts are linked with nothing. An empty table stays empty.
     """
     groups = near_duplicates(docs, NearDupParams(words=5, percent=80), count_links=False)
     keep = groups.where("kept").select("doc_id").distinct()
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").join(keep.hint("merge"), "doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row")))
     rows = rows.withColumn("nth", first).where("nth = 1").select("row.*")
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with format-preserving pseudonyms; n_chars follows the text."""
+    """The same documents with format-preserving pseudonyms; n_chars follows the text. Every row stays, null and empty texts
+    as they are."""
     out = pseudonymize(docs, PII)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents in the order of the mix: every written file is one run of it. What reads them anew can't tell."""
+    """The same documents in the order of the mix: every written file is one run of it. What reads them anew can't tell.
+
+    Every row stays, repeated ones side by side; null and unlisted sources come last.
+    """
     return mixed_order(docs, TARGET)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, position, in_mix, n_tokens, ids and round_trip of every document, sorted by position.
 
-    Files are read in an order of their own, so the mix, which the rows alone decide, is computed again.
+    Files are read in an order of their own, so the mix, which the rows alone decide, is computed again. Null text counts as
+    empty: no ids. An empty table gives an empty result.
     """
     mixed = mix(docs, TARGET).orderBy("position").select("row.doc_id", "row.lang", "row.source", "position", "in_mix", "row.text")
     return tokenized(mixed, vocabulary("byte_bpe_50k.json"), ("doc_id", "lang", "source", "position", "in_mix"))
