@@ -482,3 +482,22 @@ def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of the nodes that hold more than one component; the others can't give a new link."""
     several = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
     return rows.join(several, "node", "left_semi")
+
+
+def oracle(params: NearDupParams) -> str:
+    """DuckDB SQL of near_duplicates over the documents table: shingles as texts, pairs by shared shingles, components by reach."""
+    k, upper = params.words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shingle = " || ' ' || ".join(f"ws[i + {j}]" for j in range(k))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+  ELSE list_sort(list_distinct([{shingle} FOR i IN range(1, len(ws) - {k} + 2)])) END AS sh FROM w),
+sets AS (SELECT sh, min(doc_id) AS id, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS (SELECT id, n, unnest(sh) AS t FROM sets),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {params.percent} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, root) AS (SELECT id, id FROM sets UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+d AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, coalesce(c.root, s.doc_id) = s.doc_id AS kept, coalesce(d.links, 0) AS n_links
+FROM s LEFT JOIN sets ON sets.sh = s.sh LEFT JOIN c ON c.id = sets.id LEFT JOIN d ON d.id = sets.id"""

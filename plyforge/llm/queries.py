@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plyforge.llm import langid, toxicity
 from plyforge.llm.bpe import bpe_round_trip
 from plyforge.llm.huffman import token_files
-from plyforge.llm.minhash import NearDupParams, near_duplicates
+from plyforge.llm.minhash import NearDupParams, near_duplicates, oracle as links_oracle
 from plyforge.llm.mixing import MixParams, mix, oracle as mix_oracle
 from plyforge.llm.ogg import media_round_trip
 from plyforge.llm.pii import PiiParams, pseudonymize
@@ -78,8 +78,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+LINKS = NearDupParams(words=3, percent=85)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), NearDupParams(words=3, percent=85))
+    return near_duplicates(documents(spark, sf_dir), LINKS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op3_mix": mix_oracle(TARGET)}
+ORACLE: dict[str, str] = {"op3_mix": mix_oracle(TARGET), "op9_near_duplicates": links_oracle(LINKS)}

@@ -214,3 +214,13 @@ def test_many_near_copies_of_one_page(spark):
     p = NearDupParams(words=3, percent=85, node_limit=8, max_depth=2, block=100)
     got = near_duplicates(docs, p).collect()
     assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 699)} and len(got) == 700
+
+
+def test_op9_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = c.sql(queries.ORACLE["op9_near_duplicates"])
+    got = queries.op9_near_duplicates(spark, sf_dir).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
