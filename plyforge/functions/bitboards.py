@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from plyforge.rules.board import signed
+from plyforge.rules.board import PAWN_HITS, STEPS, _walk, signed
 
 _FRESH = count()
 
@@ -117,3 +117,53 @@ def outposts(own: str, foe: str, white: bool) -> str:
     ranks = sum(0xFF << (8 * r) for r in ((3, 4, 5) if white else (2, 3, 4)))
     span = pawn_hits(fill(foe, not white), not white)
     return f"({lit(ranks)} & {pawn_hits(own, white)} & ~{span})"
+
+
+# -- attacks of whole boards: tables of rays cut at the first piece
+
+
+def table(squares) -> str:
+    """An array of 64 sets, one for each square."""
+    return "array(" + ", ".join(lit(sum(1 << t for t in x)) for x in squares) + ")"
+
+
+_RAYS = {d: table(_walk(s, *d) for s in range(64)) for d in _WAYS}
+_OCCUPIED = "(p | n | b | r | q | k)"
+
+
+def nearest(a: str, d: tuple[int, int]) -> str:
+    """The square of a that a ray in direction d meets first: its lowest or highest bit. Of no square: any."""
+    if d[0] + 8 * d[1] < 0:
+        return f"(length(bin({a})) - 1)"
+    # no ray upwards holds square 0, so a may be halved, and the highest bit is no sign
+    return let(f"shiftrightunsigned({a}, 1)", lambda v: f"bit_count({v} ^ ({v} - 1L))")
+
+
+def sight(i: str, d: tuple[int, int], occupied: str) -> str:
+    """Squares seen from square i in direction d, up to the first piece."""
+    ray = f"{_RAYS[d]}[{i}]"
+    if d[0] + 8 * d[1] < 0:
+        return f"({ray} & shiftleft(-1L, {nearest(f'({ray} & {occupied})', d)}))"
+    return let(f"shiftrightunsigned({ray} & {occupied}, 1)", lambda v: f"({ray} & (shiftleft({v} ^ ({v} - 1L), 1) | 1L))")
+
+
+def attack_maps() -> str:
+    """array<bigint>: the squares that the piece on each square attacks, whether or not the position is legal."""
+
+    def piece(o: str) -> str:
+        straight, slant = (union([sight("i", d, o) for d in _WAYS if (0 in d) == along]) for along in (True, False))
+        slides = f"(if({has('(r | q)', 'i')}, {straight}, 0L) | if({has('(b | q)', 'i')}, {slant}, 0L))"
+        pawn = f"if({has('w', 'i')}, {table(PAWN_HITS[True])}[i], {table(PAWN_HITS[False])}[i])"
+        return f"case when not {has(o, 'i')} then 0L when {has('p', 'i')} then {pawn} when {has('n', 'i')} then {table(STEPS['N'])}[i] when {has('k', 'i')} then {table(STEPS['K'])}[i] else {slides} end"
+
+    return let(_OCCUPIED, lambda o: f"transform(sequence(0, 63), i -> {piece(o)})")
+
+
+def piece_lines() -> str:
+    """array<struct<slider, front, rear>>: the first two pieces that every ray of every slider meets."""
+
+    def met(d: tuple[int, int], o: str) -> str:
+        sliders = "(r | q)" if 0 in d else "(b | q)"
+        return let(f"if({has(sliders, 's')}, {_RAYS[d]}[s] & {o}, 0L)", lambda a: let(nearest(a, d), lambda f: let(f"({a} & ~{bit(f)})", lambda c: f"if({c} = 0L, null, named_struct('slider', s, 'front', {f}, 'rear', {nearest(c, d)}))")))
+
+    return let(_OCCUPIED, lambda o: f"flatten(transform(filter(sequence(0, 63), i -> {has('(b | r | q)', 'i')}), s -> filter(array({', '.join(met(d, o) for d in _WAYS)}), x -> x is not null)))")

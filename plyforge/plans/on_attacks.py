@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.functions.chess import attack_columns
+from plyforge.functions import bitboards as B
+from plyforge.lang import ast as A
 from plyforge.lang.parser import parse
 from plyforge.plans.compiler import hit_rows, set_sql
 from plyforge.plans.on_orders import _SETS, _pieces, boards
@@ -16,9 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def attacked_boards(spark: SparkSession, sf: str) -> DataFrame:
-    b = boards(spark, sf)
-    return b.withColumn("x", attack_columns(*[F.col(c) for c in ("p", "n", "b", "r", "q", "k", "w", "bl")])).select("*", "x.*").drop("x")
+def attacked_boards(spark: SparkSession, sf: str, column: str = "atk") -> DataFrame:
+    """Boards with atk or lines. The column is generated, not projected: else the optimizer would copy its expression into
+    the loops over squares that read it."""
+    found = B.attack_maps() if column == "atk" else B.piece_lines()
+    return boards(spark, sf).select("*", F.explode_outer(F.array(F.expr(found))).alias(column))
 
 
 def _clear(a: str, tf: str, tr: str) -> str:
@@ -45,7 +48,8 @@ def _ab(a: str, b: str) -> str:
 
 def _board(name: str, dsl: str, sql: str) -> None:
     q = parse(dsl)
-    QUERIES[name] = lambda spark, sf: hit_rows(q, attacked_boards(spark, sf)).select("game_id")
+    column = "lines" if isinstance(q, A.Ray3) else "atk"
+    QUERIES[name] = lambda spark, sf: hit_rows(q, attacked_boards(spark, sf, column)).select("game_id")
     ORACLE[name] = sql
 
 
