@@ -12,6 +12,7 @@ from plyforge.lang import ast as A
 from plyforge.lang.parser import parse
 from plyforge.operators import endgames, headers, listing, mutations, positions
 from plyforge.plans.compiler import hit_rows, power_sql, set_sql
+from plyforge.sources.tables import by_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,7 +117,7 @@ def boards(spark: SparkSession, sf: str) -> DataFrame:
     l = spark.read.parquet(f"{sf}/lineitem.parquet")
     code = F.col("l_linenumber") % 6 * 2 + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
     x = l.select(F.col("l_orderkey").alias("game_id"), code.alias("code"), F.when(F.col("l_linenumber") % 6 == 0, 8 + F.col("l_partkey") % 48).otherwise(F.col("l_partkey") % 63).cast("int").alias("s"))
-    x = x.groupBy("game_id", "s").agg(F.min("code").alias("code")).select("game_id", "s", F.expr("code div 2").alias("role"), (F.col("code") % 2 == 1).alias("black"))
+    x = by_key(x, l, "game_id").groupBy("game_id", "s").agg(F.min("code").alias("code")).select("game_id", "s", F.expr("code div 2").alias("role"), (F.col("code") % 2 == 1).alias("black"))
     bit = F.expr("shiftleft(1L, s)")
     zero = F.lit(0).cast("bigint")
     roles = [F.coalesce(F.bit_or(F.when(F.col("role") == i, bit)), zero).alias(c) for i, c in enumerate(_ROLES)]

@@ -45,6 +45,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_key(df: DataFrame, source: DataFrame, key: str, mb: int = 4) -> DataFrame:
+    """df hashed by key into a task for every mb MB of the files of source (one a core at least): a task's share of rows
+    doesn't grow with the input. Later groupings and windows by key need no other shuffle."""
+    size = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // (mb << 20))), key)
+
+
 _STORED: dict[tuple, DataFrame] = {}
 
 
