@@ -85,6 +85,9 @@ def set_sql(s: A.SetNode, env: dict[str, str]) -> str:
         a, b = set_sql(s.a, env), set_sql(s.b, env)
         if s.reverse:
             return B.let(a, lambda x: B.let(b, lambda y: f"aggregate(sequence(0, 63), 0L, (t, i) -> if({B.has(x, 'i')} and (atk[i] & {y}) <> 0L, t | {B.bit('i')}, t))"))
+        before, after = B.bit("|").split("|")
+        if isinstance(s.a, A.Var) and a.startswith(before):  # bound to one square: no loop over all
+            return f"(atk[{a.removeprefix(before).removesuffix(after)}] & {b})"
         return B.let(a, lambda x: f"(aggregate(sequence(0, 63), 0L, (t, i) -> if({B.has(x, 'i')}, t | atk[i], t)) & {b})")
     raise CompileError(f"unknown set {s}")
 

@@ -79,3 +79,9 @@ def test_boards_of_odd_lines(spark, tmp_path):
                 sets["pnbrqk"[role]] |= 1 << s
             sets["bl" if code > 0 and code % 2 else "w"] |= 1 << s
         assert {c: got[key][c] for c in sets} == sets
+
+
+def test_attacks_of_a_variable_read_one_square(spark, sf_dir):
+    """One loop, over the squares that the variable takes."""
+    found = on_attacks.QUERIES["b15_attack_variable"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in found
