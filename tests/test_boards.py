@@ -44,6 +44,14 @@ def test_tasks_grow_with_the_input(spark, sf_dir, fourfold, name):
     assert mb == [-(-4 * os.path.getsize("/root/testdata/sf0.1/lineitem.parquet") // (4 << 20))]
 
 
+@pytest.mark.parametrize("name", ATTACKS + BOARDS)
+def test_readers_hold_no_table(spark, sf_dir, name):
+    """Lines are hashed as they are read: an aggregate under the shuffle would hold a table that grows with a reader's split."""
+    query = (on_attacks.QUERIES | on_orders.QUERIES)[name]
+    under = plan(query(spark, sf_dir)).rpartition("Exchange hashpartitioning")[2]
+    assert "FileScan parquet" in under and "Aggregate" not in under
+
+
 def test_attack_columns_equal_the_rules(spark):
     rnd = random.Random(5)
     boards = [[""] * 64, ["Q"] + [""] * 62 + ["q"], [""] * 63 + ["R"], ["k"] * 64, ["Q"] * 64, list("rnbqkbnrpppppppp") + [""] * 32 + list("PPPPPPPPRNBQKBNR")]
